@@ -13,9 +13,8 @@ from skysieve.functions.numeric import clean_text
 OB_BOUNDARY = "^(OB|O/B|O[0-9](\\.[0-9]+)?/B)"
 # longest spelling first where one code is a prefix of another
 LUMINOSITY_PREFIX = "^(IA\\+|IAB|IA|IB|III|VII|VI|IV|II|I|V|0)"
-MIXED_CASE_LUMINOSITY = {"IA+": "Ia+", "IAB": "Iab", "IA": "Ia", "IB": "Ib"}
-FRACTIONAL = "^([OBAFGKM])([0-9]\\.[0-9]+)(.*)$"
-INTEGER = "^([OBAFGKM])([0-9])(.*)$"
+# class letter, digit with or without fraction, luminosity class, rest
+LABEL = "^([OBAFGKM])([0-9](?:\\.[0-9]+)?)?" + LUMINOSITY_PREFIX[1:] + "?(.*)$"
 
 
 def normalize_label(c: Column) -> Column:
@@ -36,13 +35,14 @@ def is_ob_boundary(compact: Column) -> Column:
     return compact.rlike(OB_BOUNDARY)
 
 
+def _mixed_case(code: Column) -> Column:
+    """IA+, IAB, IA, IB are written Ia+, Iab, Ia, Ib; the other codes hold no A or B."""
+    return F.translate(code, "AB", "ab")
+
+
 def luminosity_code(rest: Column) -> Column:
     """Luminosity class at the start of what follows class and digit, or NULL."""
-    code = _found(F.regexp_extract(rest, LUMINOSITY_PREFIX, 1))
-    out = F.when(code.isNull(), None)
-    for upper, mixed in MIXED_CASE_LUMINOSITY.items():
-        out = out.when(code == upper, F.lit(mixed))
-    return out.otherwise(code)
+    return _found(_mixed_case(F.regexp_extract(rest, LUMINOSITY_PREFIX, 1)))
 
 
 def luminosity_rest(rest: Column) -> Column:
@@ -57,46 +57,33 @@ def parse_label(c: Column) -> Column:
     fractional digit, no digit, whole digit.
     """
     compact = F.coalesce(_compact(c), F.lit(""))
-    first = _found(F.regexp_extract(compact, "^[OBAFGKM]", 0))
-    fractional = compact.rlike(FRACTIONAL)
-    digit = _found(F.regexp_extract(compact, INTEGER, 2))
-    rest = (
-        F.when(fractional, F.regexp_extract(compact, FRACTIONAL, 3))
-        .when(digit.isNotNull(), F.regexp_extract(compact, INTEGER, 3))
-        .otherwise(F.substring(compact, 2, 1 << 20))
-    )
-    luminosity = luminosity_code(rest)
-
-    empty = compact == ""
-    boundary = is_ob_boundary(compact)
-    classless = first.isNull()
-    unread = empty | boundary | classless
+    empty, boundary = compact == "", is_ob_boundary(compact)
+    first = F.regexp_extract(compact, LABEL, 1)
+    digits = F.regexp_extract(compact, LABEL, 2)
+    luminosity = F.regexp_extract(compact, LABEL, 3)
+    suffix = F.regexp_extract(compact, LABEL, 4)
+    read = ~boundary & (first != "")
 
     note = (
         F.when(empty, "empty_label")
         .when(boundary, "ambiguous_ob_boundary_label")
-        .when(classless, "missing_supported_spectral_class")
-        .when(fractional, "fractional_subclass_requires_separate_policy")
-        .when(digit.isNull(), "missing_integer_subclass")
-        .when(luminosity.isNull(), "missing_luminosity_class")
+        .when(first == "", "missing_supported_spectral_class")
+        .when(F.length(digits) > 1, "fractional_subclass_requires_separate_policy")
+        .when(digits == "", "missing_integer_subclass")
+        .when(luminosity == "", "missing_luminosity_class")
     )
-    status = (
+    return F.struct(
+        F.coalesce(normalize_label(c), F.lit("")).alias("normalized_value"),
+        F.when(boundary, "OB").when(first != "", first).alias("spectral_class"),
+        F.when(read & (F.length(digits) == 1), digits.try_cast("int")).alias("spectral_subclass"),
+        F.when(read & (luminosity != ""), _mixed_case(luminosity)).alias("luminosity_class"),
+        F.when(read, _found(suffix)).otherwise(_found(compact)).alias("peculiarity_suffix"),
         F.when(empty, "empty")
         .when(boundary, "partial")
-        .when(classless, "unsupported")
-        .when(note.isNull(), "parsed")
+        .when(first == "", "unsupported")
+        .when((F.length(digits) == 1) & (luminosity != ""), "parsed")
         .otherwise("partial")
-    )
-    return F.struct(
-        F.coalesce(normalize_label(c), F.lit("")).alias("normalized_value"),
-        F.when(empty, None).when(boundary, "OB").otherwise(first).alias("spectral_class"),
-        F.when(~unread & ~fractional, digit.cast("int")).alias("spectral_subclass"),
-        F.when(~unread, luminosity).alias("luminosity_class"),
-        F.when(empty, None)
-        .when(boundary | classless, compact)
-        .otherwise(luminosity_rest(rest))
-        .alias("peculiarity_suffix"),
-        status.alias("parse_status"),
+        .alias("parse_status"),
         note.alias("parse_note"),
     )
 

@@ -20,7 +20,8 @@ def with_share(counts: DataFrame, *, name: str = "share", count: str = "n_rows",
         totals = counts.groupBy(*within).agg(F.sum(count).alias("_total"))
         joined = counts.join(totals, within, "left")
     else:
-        joined = counts.crossJoin(counts.agg(F.sum(count).alias("_total")))
+        total = counts.agg(F.sum(count)).scalar()
+        return counts.withColumn(name, F.col(count) / total)
     return joined.withColumn(name, F.col(count) / F.col("_total")).drop("_total")
 
 

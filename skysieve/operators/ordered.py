@@ -155,9 +155,11 @@ def with_buckets(df: DataFrame, groups, value: str, buckets: int = BUCKETS) -> D
     """Add `_bucket`: equal values share a bucket and buckets follow the value order."""
     groups = list(groups)
     marks = [i / buckets for i in range(1, buckets)]
-    edges = df.groupBy(*groups).agg(
-        F.array_distinct(F.percentile_approx(value, marks, SKETCH_ACCURACY)).alias("_edges")
-    )
+    cuts = F.array_distinct(F.percentile_approx(value, marks, SKETCH_ACCURACY)).alias("_edges")
+    if not groups:
+        known = df.agg(cuts).first()["_edges"] or []
+        return df.withColumn("_bucket", _bucket_of(F.col(value), F.lit(known)) if known else F.lit(0))
+    edges = df.groupBy(*groups).agg(cuts)
     joined = null_safe_join(df, small_table(edges), groups, "inner")
     return joined.withColumn("_bucket", _bucket_of(F.col(value), F.col("_edges"))).drop("_edges")
 
@@ -171,6 +173,7 @@ def spread_row_number(
     the offset of a bucket comes from the counted buckets before it.
     """
     groups = list(groups)
+    # at most one row per bucket and group reaches this window
     before = W.partitionBy(*groups).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         df.groupBy(*groups, bucket)

@@ -26,30 +26,35 @@ def balanced_join(
     right: DataFrame,
     keys,
     *,
-    spread: Column,
+    left_spread: Column,
+    right_spread: Column,
     rows_per_task: int = ROWS_PER_TASK,
-    how: str = "inner",
 ) -> DataFrame:
-    """Equi-join where hot keys of `right` are cut into parts.
+    """Inner equi-join where keys that are hot on either side are cut into parts.
 
-    `spread` is any column of `right` that tells its rows apart. A right row goes
-    to one part, the matching left rows to every part of their key, so each pair
-    is met exactly once. `how` may be inner or right.
+    The spread columns tell the rows of a side apart. A row belongs to one part of
+    its own side and meets every part of the other side, so each pair is met
+    exactly once. Cold keys have one part and are not copied.
     """
-    if how not in ("inner", "right"):
-        raise ValueError("balanced_join supports inner and right joins")
     keys = list(keys)
-    hot = F.broadcast(hot_keys(right, keys, rows_per_task))
-    one = F.lit(1)
-    cut_right = (
-        right.withColumn("_spread", F.xxhash64(spread))
-        .join(hot, keys, "left")
-        .withColumn("_part", F.pmod("_spread", F.coalesce("_parts", one)).cast("int"))
-        .drop("_spread", "_parts")
-    )
-    cut_left = (
-        left.join(hot, keys, "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", one) - 1)))
-        .drop("_parts")
+    hot_left = F.broadcast(hot_keys(left, keys, rows_per_task).withColumnRenamed("_parts", "_lp"))
+    hot_right = F.broadcast(hot_keys(right, keys, rows_per_task).withColumnRenamed("_parts", "_rp"))
+
+    def cut(df: DataFrame, spread: Column, own: str, other: str) -> DataFrame:
+        marked = (
+            df.withColumn("_spread", F.xxhash64(spread)).join(hot_left, keys, "left").join(hot_right, keys, "left")
+        )
+        mine = F.pmod("_spread", F.coalesce(own, F.lit(1))).cast("int")
+        others = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return (
+            marked.withColumn("_own", mine)
+            .withColumn("_other", others)
+            .drop("_spread", "_lp", "_rp")
+            .withColumnsRenamed({"_own": f"_part{own}", "_other": f"_part{other}"})
+        )
+
+    return (
+        cut(left, left_spread, "_lp", "_rp")
+        .join(cut(right, right_spread, "_rp", "_lp"), [*keys, "_part_lp", "_part_rp"])
+        .drop("_part_lp", "_part_rp")
     )
-    return cut_left.join(cut_right, [*keys, "_part"], how).drop("_part")

@@ -106,7 +106,7 @@ def stars(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 # candidate pairs of a sky match: separation in degrees, repeats of a pair still in
 CANDIDATE_COLUMNS = {
     "external_row_id": "l_orderkey",
-    "source_id": "l_partkey",
+    "source_id": "(l_partkey * 31 + l_suppkey * 7) % 15000",
     "SEPARATION": "l_extendedprice / 1E9",
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skysieve.plans import catalogue_queries, decision_queries, linking_queries  # noqa: F401
+from skysieve.plans import catalogue_queries, decision_queries, frame_queries, linking_queries  # noqa: F401
 from skysieve.plans.registry import QUERIES, TWINS
 
 

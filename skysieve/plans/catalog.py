@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from skysieve.plans import catalogue_queries, decision_queries, frame_queries, linking_queries  # noqa: F401
+from skysieve.plans import (  # noqa: F401
+    catalogue_queries,
+    decision_queries,
+    evaluation_queries,
+    frame_queries,
+    linking_queries,
+    review_queries,
+)
 from skysieve.plans.registry import QUERIES, TWINS
 
 

@@ -127,6 +127,9 @@ def family_frame(df: DataFrame, spectral_class: str, *, check: bool = True) -> D
 # --- ID/OOD ---------------------------------------------------------------------------
 
 
+MEMBERSHIP_COLUMNS = ("ood_group", "ood_membership_count", "selector_score_1", "selector_score_2")
+
+
 def target_conflicts(df: DataFrame) -> DataFrame:
     """Ids that carry more than one domain target."""
     target = F.lower(F.trim("domain_target"))
@@ -146,6 +149,9 @@ def collapse_memberships(df: DataFrame) -> DataFrame:
     the member list is bounded by the vocabulary of groups.
     """
     have = [c for c in df.columns if c != "source_id"]
+    for absent in MEMBERSHIP_COLUMNS:
+        if absent not in have:
+            df = df.withColumn(absent, F.lit(None))
     order = [c for c in ("random_index", "domain_target", "ood_group") if c in have]
     group = F.col("ood_group").cast("string")
     per_id = df.groupBy("source_id").agg(

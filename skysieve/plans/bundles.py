@@ -72,6 +72,18 @@ def decision_run(spark: SparkSession, sf_dir: str) -> Run:
     return Run(inputs, decisions, chosen, score_priority(chosen))
 
 
-def id_as_text(df: DataFrame) -> DataFrame:
-    """Rankings carry the id as text; join partners follow."""
-    return df.withColumn("source_id", F.col("source_id").cast("string"))
+_SAVED: dict[tuple[str, str], Run] = {}
+
+
+def saved_run(spark: SparkSession, sf_dir: str) -> Run:
+    """The four tables of a run as written tables, once per application: what reviews read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SAVED:
+        run = decision_run(spark, sf_dir)
+        decisions = materialise(run.decisions, "decisions")
+        chosen = materialise(
+            D.priority_input(st.stars(spark, sf_dir), decisions, check=False), "priority-input"
+        )
+        ranking = materialise(score_priority(chosen), "priority-ranking")
+        _SAVED[key] = Run(run.inputs, decisions, chosen, ranking)
+    return _SAVED[key]

@@ -7,6 +7,7 @@ from skysieve.plans import (  # noqa: F401
     decision_queries,
     evaluation_queries,
     frame_queries,
+    learning_queries,
     linking_queries,
     review_queries,
 )

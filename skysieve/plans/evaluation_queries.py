@@ -81,7 +81,7 @@ def e02_binary(spark, sf):
     return rounded(E.ovr_auc(df, "t", {"id": "id_p", "ood": "ood_probability"}), "roc_auc_ovr")
 
 
-VIEWS["binary"] = """SELECT CAST(coalesce(spec_class IN ('G', 'K'), false) AS INT) AS y, host_similarity_score AS p, spec_class, evolution_stage,
+VIEWS["binrows"] = """SELECT CAST(coalesce(spec_class IN ('G', 'K'), false) AS INT) AS y, host_similarity_score AS p, spec_class, evolution_stage,
   CASE WHEN source_id % 3 = 0 THEN 'test' ELSE 'train' END AS split_name FROM stars WHERE host_similarity_score IS NOT NULL"""
 
 
@@ -101,9 +101,9 @@ def binary(spark, sf):
 @query(
     "e04_calibration_summary",
     twin(
-        f"""SELECT n_rows, positive_rate, mean_predicted_probability, brier_score, log_loss, (SELECT round(auc, 6) FROM ({auc_sql('(SELECT *, 1 AS g FROM binary)', 'p', 'y = 1', 'g')})) AS roc_auc
+        f"""SELECT n_rows, positive_rate, mean_predicted_probability, brier_score, log_loss, (SELECT round(auc, 6) FROM ({auc_sql('(SELECT *, 1 AS g FROM binrows)', 'p', 'y = 1', 'g')})) AS roc_auc
   FROM (SELECT count(*) AS n_rows, round(avg(y), 6) AS positive_rate, round(avg(p), 6) AS mean_predicted_probability, round(avg((p - y) * (p - y)), 6) AS brier_score,
-  round(avg(-CASE WHEN y = 1 THEN ln(greatest(p, 1E-15)) ELSE ln(1E0 - least(p, 1E0 - 1E-15)) END), 6) AS log_loss FROM binary)"""
+  round(avg(-CASE WHEN y = 1 THEN ln(greatest(p, 1E-15)) ELSE ln(1E0 - least(p, 1E0 - 1E-15)) END), 6) AS log_loss FROM binrows)"""
     ),
 )
 def e04(spark, sf):
@@ -120,7 +120,7 @@ _EDGES = ", ".join(f"quantile_cont(p, {i / 10})" for i in range(1, 10))
     "e05_calibration_curve",
     twin(
         f"""SELECT CAST(row_number() OVER (ORDER BY b) AS INT) AS bin_index, m AS mean_predicted_probability, f AS fraction_of_positives FROM (
-  SELECT len(list_filter(e, x -> x < p)) AS b, round(avg(p), 6) AS m, round(avg(y), 6) AS f FROM binary, (SELECT [{_EDGES}] AS e FROM binary) GROUP BY 1)"""
+  SELECT len(list_filter(e, lambda x: x < p)) AS b, round(avg(p), 6) AS m, round(avg(y), 6) AS f FROM binrows, (SELECT [{_EDGES}] AS e FROM binrows) GROUP BY 1)"""
     ),
 )
 def e05(spark, sf):
@@ -131,7 +131,7 @@ def e05(spark, sf):
     "e05_uniform_curve",
     twin(
         """SELECT CAST(row_number() OVER (ORDER BY b) AS INT) AS bin_index, m AS mean_predicted_probability, f AS fraction_of_positives FROM (
-  SELECT len(list_filter([2E-1, 4E-1, 6E-1, 8E-1], x -> x < p)) AS b, round(avg(p), 6) AS m, round(avg(y), 6) AS f FROM binary GROUP BY 1)"""
+  SELECT len(list_filter([2E-1, 4E-1, 6E-1, 8E-1], lambda x: x < p)) AS b, round(avg(p), 6) AS m, round(avg(y), 6) AS f FROM binrows GROUP BY 1)"""
     ),
 )
 def e05_uniform(spark, sf):
@@ -145,7 +145,7 @@ def e05_uniform(spark, sf):
     twin(
         """SELECT probability_bin, count(*) AS n_rows, count(*) / sum(count(*)) OVER () AS share, round(avg(y), 6) AS positive_rate, round(avg(p), 6) AS mean_probability
   FROM (SELECT y, p, CASE WHEN p <= 0 THEN NULL ELSE '(' || CAST((ceil(p * 10) - 1) / 10 AS VARCHAR) || ', ' || CAST(ceil(p * 10) / 10 AS VARCHAR) || ']' END AS probability_bin
-  FROM (SELECT y, CASE WHEN p < 1E-1 THEN 0E0 ELSE p END AS p FROM binary)) GROUP BY 1"""
+  FROM (SELECT y, CASE WHEN p < 1E-1 THEN 0E0 ELSE p END AS p FROM binrows)) GROUP BY 1"""
     ),
 )
 def e06(spark, sf):
@@ -157,7 +157,7 @@ def e06(spark, sf):
     "e07_calibration_by_class",
     twin(
         f"""SELECT spec_class, count(*) AS n_rows, round(avg(y), 6) AS positive_rate, round(avg(p), 6) AS mean_host_similarity_score,
-  {q50('p')} AS median_host_similarity_score FROM binary GROUP BY 1"""
+  {q50('p')} AS median_host_similarity_score FROM binrows GROUP BY 1"""
     ),
 )
 def e07(spark, sf):
@@ -418,7 +418,7 @@ def o_scored(spark, sf):
 
 
 def o_final(spark, sf):
-    run = B.decision_run(spark, sf)
+    run = B.saved_run(spark, sf)
     source = R.o_review_rows(B.gated(spark, sf)).select("source_id", "teff_gspphot")
     return O.final_outcomes(source, run.decisions, run.inputs)
 

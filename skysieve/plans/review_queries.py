@@ -25,7 +25,7 @@ def q50(column: str) -> str:
 
 
 def run(spark, sf):
-    return B.decision_run(spark, sf)
+    return B.saved_run(spark, sf)
 
 
 # --- distributions --------------------------------------------------------------------

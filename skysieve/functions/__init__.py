@@ -1 +1 @@
-"""Part of the star catalogue engine."""
+"""Column expressions: numbers, labels, scores, policies."""

@@ -46,9 +46,14 @@ def clean_text(c: Column) -> Column:
     return F.nullif(F.trim(c.cast("string")), F.lit(""))
 
 
+def clip01(c: Column) -> Column:
+    """Clamp a value that is known to be present."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
 def clamp01(c: Column) -> Column:
     # greatest/least skip NULL, so a missing score has to stay missing explicitly
-    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+    return F.when(c.isNotNull(), clip01(c))
 
 
 def linear_score(
@@ -59,7 +64,7 @@ def linear_score(
         raise ValueError("linear score needs high > low")
     share = (c - F.lit(float(low))) / F.lit(float(high) - float(low))
     score = share if rising else F.lit(1.0) - share
-    return F.coalesce(clamp01(score), F.lit(float(missing)))
+    return F.when(c.isNotNull(), clip01(score)).otherwise(float(missing))
 
 
 def argmax_label(labels, probabilities) -> Column:

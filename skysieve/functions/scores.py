@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skysieve import contracts as C
 from skysieve.functions.labels import normalize_stage
-from skysieve.functions.numeric import NEUTRAL_SCORE, clamp01, linear_score
+from skysieve.functions.numeric import NEUTRAL_SCORE, clip01, linear_score
 
 # --- fixed values: score ranges and mixing weights ------------------------------------
 
@@ -32,13 +32,13 @@ def astrometry_score(snr: Column, ruwe: Column, validation: Column) -> Column:
     parts = [
         (snr, linear_score(snr, *SNR_RANGE)),
         (ruwe, linear_score(ruwe, *RUWE_RANGE, rising=False)),
-        (validation, clamp01(validation)),
+        (validation, clip01(validation)),
     ]
     total, n = F.lit(0.0), F.lit(0)
     for source, score in parts:
         total = total + F.when(source.isNotNull(), score).otherwise(0.0)
         n = n + source.isNotNull().cast("int")
-    return F.when(n > 0, clamp01(total / n)).otherwise(NEUTRAL_SCORE)
+    return F.when(n > 0, clip01(total / n)).otherwise(NEUTRAL_SCORE)
 
 
 def observability_columns(
@@ -53,7 +53,7 @@ def observability_columns(
         "brightness_score": bright,
         "distance_score": near,
         "astrometry_score": precise,
-        "observability_score": clamp01(F.lit(b) * bright + F.lit(d) * near + F.lit(a) * precise),
+        "observability_score": clip01(F.lit(b) * bright + F.lit(d) * near + F.lit(a) * precise),
         "brightness_available": has_mag,
         "distance_available": has_parallax,
         "astrometry_available": has_astrometry,
@@ -74,11 +74,11 @@ def class_priority_score(
         .when(letter.isin(*C.LOW_PRIORITY_CLASSES), LOW_CLASS_SCORE)
         .otherwise(NEUTRAL_SCORE)
     )
-    return clamp01(score)
+    return clip01(score)
 
 
 def host_score(value: Column) -> Column:
-    return F.coalesce(clamp01(value), F.lit(NEUTRAL_SCORE))
+    return F.when(value.isNotNull(), clip01(value)).otherwise(NEUTRAL_SCORE)
 
 
 def priority_score(
@@ -89,7 +89,7 @@ def priority_score(
     weights: C.PriorityWeights = C.PriorityWeights(),
     cuts: C.PriorityThresholds = C.PriorityThresholds(),
 ) -> Column:
-    score = clamp01(
+    score = clip01(
         F.lit(weights.class_priority) * class_score
         + F.lit(weights.host_similarity) * host
         + F.lit(weights.observability) * observability

@@ -1 +1 @@
-"""Part of the star catalogue engine."""
+"""DataFrame operators."""

@@ -12,6 +12,7 @@ from skysieve.operators.ordered import (
     grouped_auc,
     grouped_summary,
     null_safe_join,
+    with_edge_count,
 )
 
 LOG_LOSS_EPS = 2.220446049250313e-16
@@ -135,8 +136,8 @@ def calibration_curve(rows: DataFrame, bins: int = 10, strategy: str = "quantile
     else:
         found = exact_quantiles(rows, [], ["p"], marks).first()
         edges = [found[f"q{i}"] for i in range(len(marks))] if found else marks
-    at = F.size(F.filter(F.lit(edges), lambda e: e < F.col("p")))
-    curve = rows.groupBy(at.alias("_bin")).agg(
+    binned = with_edge_count(rows, "_bin", F.col("p"), F.lit(edges), len(edges))
+    curve = binned.groupBy("_bin").agg(
         F.avg("p").alias("mean_predicted_probability"), F.avg("y").alias("fraction_of_positives")
     )
     # at most `bins` rows are left to be numbered
@@ -147,9 +148,10 @@ def probability_bins(rows: DataFrame, bins: int = 10) -> DataFrame:
     """Fixed bins open on the left; a probability of 0 lies in none and keeps a NULL bin."""
     edges = [i * (1.0 / bins) for i in range(bins)] + [1.0]
     names = [f"({round(a, 10)}, {round(b, 10)}]" for a, b in zip(edges, edges[1:])]
-    at = F.size(F.filter(F.lit(edges), lambda e: e < F.col("p")))
-    label = F.when((at > 0) & (at <= bins), F.element_at(F.lit(names), at))
-    counts = rows.groupBy(label.alias("probability_bin")).agg(
+    at = F.col("_bin")
+    label = F.when((at > 0) & (at <= bins), F.get(F.lit(names), at - 1))
+    binned = with_edge_count(rows, "_bin", F.col("p"), F.lit(edges), len(edges))
+    counts = binned.groupBy(label.alias("probability_bin")).agg(
         F.count("*").alias("n_rows"),
         F.avg("y").alias("positive_rate"),
         F.avg("p").alias("mean_probability"),
@@ -232,8 +234,8 @@ def threshold_table(rows: DataFrame, thresholds: int = 100) -> DataFrame:
     """
     step = 1.0 / (thresholds - 1)
     cuts = [i * step for i in range(thresholds)]
-    reached = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("p")))
-    counts = rows.groupBy(reached.alias("_k")).agg(
+    reached = with_edge_count(rows, "_k", F.col("p"), F.lit(cuts), len(cuts), inclusive=True)
+    counts = reached.groupBy("_k").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")
     )
     grid = rows.sparkSession.createDataFrame(

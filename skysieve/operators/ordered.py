@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 
 SKETCH_ACCURACY = 20_000
 GRID = 400
-BUCKETS = 512
+BUCKETS = 256
 # a table of per-group cuts is broadcast only when it was counted to be this small
 MAX_BROADCAST_GROUPS = 10_000
 
@@ -66,51 +66,52 @@ def exact_quantiles(df: DataFrame, groups, metrics, probs) -> DataFrame:
     keys = [*groups, "metric_name"]
     long = (
         df.select(*groups, *[F.col(m).cast("double").alias(m) for m in metrics])
-        .unpivot(groups, metrics, "metric_name", "value")
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
+        .unpivot(groups, metrics, "metric_name", "_value")
+        .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
     )
     grid = [i / GRID for i in range(GRID + 1)]
     sketch = long.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("value", grid, SKETCH_ACCURACY).alias("g"),
+        F.count("*").alias("_n"),
+        F.percentile_approx("_value", grid, SKETCH_ACCURACY).alias("_grid"),
     )
-    n = F.col("n").cast("double")
+    n = F.col("_n").cast("double")
     slack = n / SKETCH_ACCURACY + 2
 
     def cut(rank: Column, rounding) -> Column:
         at = rounding(rank / n * GRID)
         at = F.greatest(F.lit(0.0), F.least(F.lit(float(GRID)), at.cast("double")))
-        return F.element_at("g", (at + 1).cast("int"))
+        return F.element_at("_grid", (at + 1).cast("int"))
 
     cuts = sketch.select(
         *keys,
-        "n",
-        F.array(*[cut(_target(p, n) - slack, F.floor) for p in probs]).alias("lo"),
-        F.array(*[cut(_target(p, n) + slack + 1, F.ceil) for p in probs]).alias("hi"),
+        "_n",
+        F.array(*[cut(_target(p, n) - slack, F.floor) for p in probs]).alias("_lo"),
+        F.array(*[cut(_target(p, n) + slack + 1, F.ceil) for p in probs]).alias("_hi"),
     )
     cut_rows = null_safe_join(long, small_table(cuts), keys, "inner")
-    v = F.col("value")
+    v = F.col("_value")
     inside = reduce(
         lambda a, b: a | b,
-        [(v >= F.col("lo")[i]) & (v <= F.col("hi")[i]) for i in range(len(probs))],
+        [(v >= F.col("_lo")[i]) & (v <= F.col("_hi")[i]) for i in range(len(probs))],
     )
-    below = F.array_max(F.filter("hi", lambda h: h < v))
+    passed = [F.when(F.col("_hi")[i] < v, F.col("_hi")[i]) for i in range(len(probs))]
+    below = F.greatest(*passed) if len(passed) > 1 else passed[0]
     counted = (
         cut_rows.select(
             *keys,
-            F.col("n"),
-            F.when(inside, v).otherwise(F.coalesce(below, F.lit(float("-inf")))).alias("at"),
-            F.when(inside, 0).otherwise(1).alias("gap"),
+            F.col("_n"),
+            F.when(inside, v).otherwise(F.coalesce(below, F.lit(float("-inf")))).alias("_at"),
+            F.when(inside, 0).otherwise(1).alias("_gap"),
         )
-        .groupBy(*keys, "n", "at", "gap")
-        .agg(F.count("*").alias("m"))
+        .groupBy(*keys, "_n", "_at", "_gap")
+        .agg(F.count("*").alias("_m"))
     )
-    run = W.partitionBy(*keys).orderBy("at", "gap").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = counted.withColumn("end", F.sum("m").over(run)).withColumn("start", F.col("end") - F.col("m"))
+    run = W.partitionBy(*keys).orderBy("_at", "_gap").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = counted.withColumn("_end", F.sum("_m").over(run)).withColumn("_start", F.col("_end") - F.col("_m"))
 
     def at_rank(rank: Column) -> Column:
-        here = (F.col("start") <= rank) & (rank < F.col("end"))
-        safe = F.when(F.col("gap") == 0, F.col("at")).otherwise(
+        here = (F.col("_start") <= rank) & (rank < F.col("_end"))
+        safe = F.when(F.col("_gap") == 0, F.col("_at")).otherwise(
             F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
         )
         return F.max(F.when(here, safe))
@@ -119,12 +120,12 @@ def exact_quantiles(df: DataFrame, groups, metrics, probs) -> DataFrame:
     for i, p in enumerate(probs):
         t = _target(p, n)
         picks += [at_rank(F.floor(t)).alias(f"_f{i}"), at_rank(F.ceil(t)).alias(f"_c{i}")]
-    out = placed.groupBy(*keys, "n").agg(*picks)
+    out = placed.groupBy(*keys, "_n").agg(*picks)
     for i, p in enumerate(probs):
         t = _target(p, n)
         f, c = F.col(f"_f{i}"), F.col(f"_c{i}")
         out = out.withColumn(f"q{i}", F.when(f == c, f).otherwise(f + (c - f) * (t - F.floor(t))))
-    return out.select(*keys, F.col("n").alias("n_values"), *[f"q{i}" for i in range(len(probs))])
+    return out.select(*keys, F.col("_n").alias("n_values"), *[f"q{i}" for i in range(len(probs))])
 
 
 def medians(df: DataFrame, groups, named: dict[str, str]) -> DataFrame:
@@ -147,8 +148,21 @@ def grouped_summary(df: DataFrame, groups, aggregates, named_medians: dict[str,
 # --- buckets and positions ------------------------------------------------------------
 
 
-def _bucket_of(value: Column, edges: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: e < value))
+def with_edge_count(
+    df: DataFrame, name: str, value: Column, edges: Column, n_edges: int, *, inclusive: bool = False
+) -> DataFrame:
+    """Add how many sorted edges lie below `value` (or at it): a binary search in columns.
+
+    Each halving is one small projection, so the lookup stays in generated code.
+    """
+    out = df.withColumn(name, F.lit(0))
+    step = 1 << max(n_edges.bit_length() - 1, 0)
+    while step:
+        probe = F.get(edges, F.col(name) + (step - 1))
+        passed = probe <= value if inclusive else probe < value
+        out = out.withColumn(name, F.col(name) + F.when(passed, step).otherwise(0))
+        step //= 2
+    return out
 
 
 def with_buckets(df: DataFrame, groups, value: str, buckets: int = BUCKETS) -> DataFrame:
@@ -158,10 +172,12 @@ def with_buckets(df: DataFrame, groups, value: str, buckets: int = BUCKETS) -> D
     cuts = F.array_distinct(F.percentile_approx(value, marks, SKETCH_ACCURACY)).alias("_edges")
     if not groups:
         known = df.agg(cuts).first()["_edges"] or []
-        return df.withColumn("_bucket", _bucket_of(F.col(value), F.lit(known)) if known else F.lit(0))
+        if not known:
+            return df.withColumn("_bucket", F.lit(0))
+        return with_edge_count(df, "_bucket", F.col(value), F.lit(known), len(known))
     edges = df.groupBy(*groups).agg(cuts)
     joined = null_safe_join(df, small_table(edges), groups, "inner")
-    return joined.withColumn("_bucket", _bucket_of(F.col(value), F.col("_edges"))).drop("_edges")
+    return with_edge_count(joined, "_bucket", F.col(value), F.col("_edges"), buckets - 1).drop("_edges")
 
 
 def spread_row_number(

@@ -1 +1 @@
-"""Part of the star catalogue engine."""
+"""Flows, registered queries and their SQL twins."""

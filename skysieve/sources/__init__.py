@@ -1 +1 @@
-"""Part of the star catalogue engine."""
+"""Scans, exports and saved results."""

@@ -1 +1,7 @@
-"""Part of the star catalogue engine."""
+"""Streams.
+
+The engine is a batch engine: no rule keeps state between rows. The row-wise
+operators (`tune_gate`, `score_domain`, `route`, `decide`, `score_priority`) are
+plain projections and can be applied to a streaming DataFrame as they are, so
+there is nothing to build here.
+"""

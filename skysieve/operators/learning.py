@@ -27,6 +27,7 @@ from skysieve.operators import decision as D
 from skysieve.operators import evaluation as E
 from skysieve.operators.guards import require_columns
 from skysieve.operators.sampling import random_position, shuffle_key, stratified_folds, stratified_split
+from skysieve.session import materialise
 
 KINDS = ("boosted_trees", "network", "mixture")
 
@@ -281,15 +282,12 @@ def evaluate(df: DataFrame, model: StarModel, by=("split_name",)) -> DataFrame:
 
 def cross_validate(train: DataFrame, task: C.Task, spec: ModelSpec, protocol: C.Protocol) -> dict:
     """Mean fold scores; every fold is predicted by a model fitted on the other folds."""
-    folds = stratified_folds(train, task.target, protocol).persist()
+    folds = materialise(stratified_folds(train, task.target, protocol), "folds")
     rows = []
-    try:
-        for k in range(protocol.folds):
-            model = fit(folds.where(F.col("fold") != k), task, spec)
-            held = score(folds.where(F.col("fold") == k), model)
-            rows.append(E.classification_metrics(held, task.target, f"predicted_{task.target}", ("fold",)).first())
-    finally:
-        folds.unpersist()
+    for k in range(protocol.folds):
+        model = fit(folds.where(F.col("fold") != k), task, spec)
+        held = score(folds.where(F.col("fold") == k), model)
+        rows.append(E.classification_metrics(held, task.target, f"predicted_{task.target}", ("fold",)).first())
 
     def mean(name):
         return float(np.mean([r[name] for r in rows]))
@@ -313,7 +311,7 @@ def benchmark(
 ) -> Benchmark:
     """Split, fit, score and cross-validate several models on one frame."""
     spark = df.sparkSession
-    split = stratified_split(df, task.strata, protocol).persist()
+    split = materialise(stratified_split(df, task.strata, protocol), "split")
     train = split.where(F.col("split_name") == "train")
     metric_rows, cv_rows = [], []
     for spec in specs:
@@ -390,7 +388,7 @@ def _calibrate(df: DataFrame, calibrator, method: str, name: str) -> DataFrame:
 
 def out_of_fold(df: DataFrame, task: C.Task, spec: ModelSpec, positive: str, protocol: C.Protocol) -> DataFrame:
     """Score every row with a model that has not seen its fold."""
-    folds = stratified_folds(df, task.target, protocol).persist()
+    folds = materialise(stratified_folds(df, task.target, protocol), "folds")
     out = None
     for k in range(protocol.folds):
         model = fit(folds.where(F.col("fold") != k), task, spec)
@@ -408,13 +406,12 @@ def calibrated(
     method: str = "sigmoid", folds: int = 5, thresholds: int | None = 100,
 ) -> CalibratedModel:
     """Calibrate on out-of-fold scores (M12) and tune the cut on them."""
-    held = out_of_fold(df, task, spec, positive, C.Protocol(folds=folds)).persist()
+    held = materialise(out_of_fold(df, task, spec, positive, C.Protocol(folds=folds)), "out-of-fold")
     calibrator = _fit_calibrator(held, method)
     model = CalibratedModel(fit(df, task, spec), positive, method, calibrator)
     if thresholds:
         rows = _calibrate(held, calibrator, method, "p").select("y", "p")
         model.threshold = float(E.best_threshold(E.threshold_table(rows, thresholds)).first()["threshold"])
-    held.unpersist()
     return model
 
 
@@ -432,7 +429,7 @@ def fit_ood_gate(
 ) -> GateRun:
     """Split, calibrate, tune, score both parts with the tuned cut, measure."""
     task = C.OOD_TASK
-    split = stratified_split(df, task.strata, protocol).persist()
+    split = materialise(stratified_split(df, task.strata, protocol), "split")
     model = calibrated(split.where("split_name = 'train'"), task, "ood", spec, method=method, folds=folds)
     candidate = None if candidate_threshold is None else min(candidate_threshold, model.threshold)
     policy = C.OodPolicy(model.threshold, candidate, version)

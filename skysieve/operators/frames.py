@@ -9,18 +9,20 @@ from skysieve import contracts as C
 from skysieve.functions import labels as LB
 from skysieve.functions.numeric import clean_text, coerce_numbers
 from skysieve.operators import guards as G
+from skysieve.operators.ordered import small_table
 from skysieve.sources.relations import project
 
 
 def keep_supported(df: DataFrame, target: str, min_count: int) -> DataFrame:
     """Rows whose label has at least `min_count` rows.
 
-    Labels are counted first; the row side joins a table of frequent labels.
+    Labels are counted first; the table of frequent labels is broadcast when it is
+    small, so rows of a dominant label are not gathered anywhere.
     """
     frequent = (
         df.groupBy(target).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_count).select(target)
     )
-    return df.join(frequent, target, "left_semi")
+    return df.join(small_table(frequent), target, "left_semi")
 
 
 def task_ready(df: DataFrame, target: str, what: str = "task frame") -> DataFrame:

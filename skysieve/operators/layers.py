@@ -11,7 +11,7 @@ from skysieve import contracts as C
 from skysieve.functions.policy import first_rule
 from skysieve.operators.distributions import count_flags
 from skysieve.operators.guards import require_columns
-from skysieve.operators.ordered import grouped_summary, null_safe_join
+from skysieve.operators.ordered import grouped_summary, null_safe_join, small_table
 
 MIN_SINGLE_STAR_PROBABILITY = 0.5
 
@@ -182,7 +182,7 @@ def family_training_rows(df: DataFrame, audit: DataFrame) -> DataFrame:
         "full_subclass_label",
         F.concat("spectral_class", F.col("spectral_subclass").cast("string")),
     )
-    return usable.join(keep, ["spectral_class", "full_subclass_label"], "left_semi")
+    return usable.join(small_table(keep), ["spectral_class", "full_subclass_label"], "left_semi")
 
 
 def family_summary(rows: DataFrame) -> DataFrame:
@@ -336,7 +336,7 @@ def refinement_training_view(gated: DataFrame) -> DataFrame:
         .where(F.col("_n") >= C.MIN_SUBCLASS_SUPPORT)
         .drop("_n")
     )
-    return clean.join(enough, ["spectral_class", "spectral_subclass"], "left_semi")
+    return clean.join(small_table(enough), ["spectral_class", "spectral_subclass"], "left_semi")
 
 
 def id_ood_training_view(gated: DataFrame, ood_reference: DataFrame) -> DataFrame:

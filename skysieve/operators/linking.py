@@ -12,7 +12,7 @@ from skysieve import contracts as C
 from skysieve.functions.labels import parse_label
 from skysieve.operators.distributions import count_flags
 from skysieve.operators.ordered import spread_row_number, with_buckets
-from skysieve.operators.skew import balanced_join
+from skysieve.operators.skew import balanced_join, with_group_count
 
 MATCH_RADIUS_ARCSEC = 5.0
 SEPARATION_BUCKETS = 64
@@ -199,13 +199,11 @@ def with_conflict_count(rows: DataFrame, *, rows_per_task: int = 1_000_000) -> D
     Counted first and joined back: a source that collects a third of all rows
     is one counter, and its rows stay spread over tasks.
     """
-    counts = rows.groupBy("source_id").agg(F.count("*").alias("source_conflict_count"))
-    return balanced_join(
-        counts,
+    return with_group_count(
         rows,
-        ["source_id"],
-        left_spread=F.col("source_id"),
-        right_spread=F.col("external_row_id"),
+        "source_id",
+        "source_conflict_count",
+        spread=F.col("external_row_id"),
         rows_per_task=rows_per_task,
     )
 

@@ -58,3 +58,24 @@ def balanced_join(
         .join(cut(right, right_spread, "_rp", "_lp"), [*keys, "_part_lp", "_part_rp"])
         .drop("_part_lp", "_part_rp")
     )
+
+
+def with_group_count(
+    df: DataFrame, key: str, name: str, *, spread: Column, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Each row with the number of rows that share its key.
+
+    The counts themselves tell which keys are hot: their counter is copied to the
+    parts into which the rows of the key are cut. `df` is read twice, no more.
+    Keys must not be NULL.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias(name))
+    parts = F.ceil(F.col(name) / rows_per_task).cast("int")
+    hot = F.broadcast(counts.where(F.col(name) > rows_per_task).select(key, parts.alias("_parts")))
+    copies = counts.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = (
+        df.join(hot, key, "left")
+        .withColumn("_part", F.pmod(F.xxhash64(spread), F.coalesce("_parts", F.lit(1))).cast("int"))
+        .drop("_parts")
+    )
+    return rows.join(copies, [key, "_part"]).drop("_part")

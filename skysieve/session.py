@@ -31,10 +31,17 @@ _LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by `spark.checkpoint.dir`; a temp folder only where it is unset."""
+    """Shared folder named by `spark.checkpoint.dir`.
+
+    Only a local master, where driver and tasks are one process, gets a temp folder if it is unset;
+    on a cluster a machine-local folder loses rows, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")

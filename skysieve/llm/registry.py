@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from skysieve.llm.grace_dedup import grace_dedup
 from skysieve.llm.shared import table
+from skysieve.llm.simhash_ball import simhash_components
 from skysieve.llm.source_mixing import mix_sources
+from skysieve.llm.topk_search import top_k
 from skysieve.llm.url_cascade import judge_urls
 
 QUERIES, TWINS = {}, {}
@@ -119,3 +121,29 @@ def op10(spark, sf_dir):
 )
 def op5(spark, sf_dir):
     return grace_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op2_simhash_dedup")
+def op2(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents"), shingle=3)
+
+
+@query(
+    "op4_topk_search",
+    """
+    WITH usable AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(64.0::DOUBLE * x::DOUBLE)) AS w
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+        FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+    )
+    SELECT query_id, vec_id, score,
+           row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank
+    FROM scored QUALIFY rank <= 20
+    """,
+)
+def op4(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from skysieve.llm.grace_dedup import grace_dedup
+from skysieve.llm.pattern_packing import pack_documents
 from skysieve.llm.shared import table
 from skysieve.llm.simhash_ball import simhash_components
 from skysieve.llm.source_mixing import mix_sources
@@ -147,3 +149,8 @@ def op2(spark, sf_dir):
 )
 def op4(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_best_fit_packing")
+def op7(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 from skysieve.llm.shared import utf8
 from skysieve.session import materialise, scratch_path
 
-#: Bytes of content that one bucket, and the table of one task, may hold; levels of spilling at most.
-BUCKET_BYTES, TABLE_BYTES, LEVELS = 12 << 20, 24 << 20, 6
+#: Bytes of content that a bucket gets on average; that a table in memory may hold; levels of spilling at most.
+BUCKET_BYTES, TABLE_BYTES, LEVELS = 2 << 20, 24 << 20, 6
 
 SPILL = pa.schema(
     [
@@ -176,7 +176,7 @@ def grace_dedup(
         levels.append(spilled)
         sizes = spilled.groupBy("bucket").agg(F.sum("bytes").alias("held"), F.count("*").alias("records"))
         # a bucket of one record can't be split; at the last level all are taken as they are
-        fits = (F.col("held") <= 2 * bucket_bytes) | (F.col("records") == 1) | F.lit(level == LEVELS - 1)
+        fits = (F.col("held") <= table_bytes) | (F.col("records") == 1) | F.lit(level == LEVELS - 1)
         sizes = materialise(sizes.withColumn("fits", fits), f"grace-sizes-{level}")
         over = sizes.where("not fits").agg(F.count("*"), F.coalesce(F.sum("held"), F.lit(0))).first()
         # fits depends on one row per bucket; both sides are cut by bucket anyway

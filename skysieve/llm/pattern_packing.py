@@ -22,14 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from skysieve.llm.shared import utf8
+from skysieve.llm.shared import slices, utf8
 from skysieve.llm.tokens import WordIds
 from skysieve.session import materialise
 
 #: Grid of the smallest length in a triple, steps of the fit, weight of lengths up to SMALL (residuals that fill gaps).
 GRID, STEPS, SMALL, SMALL_WEIGHT = 16, 300, 64, 0.1
 #: Pieces of one length that one window ranks, on average.
-RANK_ROWS = 512
+RANK_ROWS = 128
 #: A run of equal lengths in a pattern: ranks [rank, rank + count) of the length, `each` in a sequence.
 RUN = ("length", "rank", "count", "each", "sequence", "offset")
 
@@ -147,7 +147,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, end = WordIds(path), array("I", [end_id]).tobytes()
         size = 4 * capacity
-        for batch in batches:
+        for batch in slices(batches):
             ids, out, held = batch.column("doc_id").to_pylist(), [], []
             for doc_id, text in zip(ids, utf8(batch, "text")):
                 tokens = words.ids(text) + end

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from skysieve.session import materialise
+
 #: A word, as the contracts define it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,6 +32,17 @@ def bounded_sample(rows: DataFrame, key: str, bound: int, total: int, seed: int)
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
+#: Rows that a task turns into Python objects at once.
+ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, without copying."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings; null counts as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]
@@ -35,3 +51,28 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes; null counts as the empty text."""
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bound: int, name: str):
+    """Documents with a label `y`, about `bound` per class, outside the held-out fold; and the rows of each class.
+
+    Labels that are null or neither 0 nor 1 are ignored; of several labels of one id the largest counts.
+    The sampled labels are bounded by the parameter, so they are broadcast and texts stay where they are.
+    """
+    rows = (
+        labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
+        .groupBy(F.col("doc_id").alias("_id"))
+        .agg(F.max(label).cast("int").alias("y"))
+    )
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    picked = [bounded_sample(rows.where(F.col("y") == y), "_id", bound, n, y) for y, n in counts.items()]
+    sample = picked[0] if picked else rows
+    for more in picked[1:]:
+        sample = sample.unionByName(more)
+    joined = documents.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).drop("_id")
+    return materialise(joined, name), counts
+
+
+def log_odds(counts: dict) -> float:
+    """Of class 1, with one row added to each class."""
+    return math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))

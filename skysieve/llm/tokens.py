@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 #: Words whose ids are kept at once; the length up to which they stay when the others go; the length up to
 #: which a word is kept together with the marks after it.
-KEPT, SHORT, WITH_MARKS = 500_000, 6, 12
+KEPT, SHORT, WITH_MARKS = 250_000, 6, 12
 #: Letters that stay single letters in composed form and in lower case.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿŒœ]+")
 #: Marks that form a piece of their own after a letter or digit, whatever stands before.

@@ -11,6 +11,7 @@ from skysieve.llm.shared import table
 from skysieve.llm.simhash_ball import simhash_components
 from skysieve.llm.source_mixing import mix_sources
 from skysieve.llm.topk_search import top_k
+from skysieve.llm.toxicity import toxicity_scores
 from skysieve.llm.url_cascade import judge_urls
 
 QUERIES, TWINS = {}, {}
@@ -154,3 +155,8 @@ def op4(spark, sf_dir):
 @query("op7_best_fit_packing")
 def op7(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

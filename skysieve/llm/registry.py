@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from skysieve.llm.factorisation import quality_scores
 from skysieve.llm.grace_dedup import grace_dedup
 from skysieve.llm.pattern_packing import pack_documents
 from skysieve.llm.shared import table
@@ -160,3 +161,8 @@ def op7(spark, sf_dir):
 @query("op1_toxicity")
 def op1(spark, sf_dir):
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_quality")
+def op9(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

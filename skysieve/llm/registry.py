@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skysieve.llm.factorisation import quality_scores
 from skysieve.llm.grace_dedup import grace_dedup
+from skysieve.llm.language_id import predict_language
 from skysieve.llm.pattern_packing import pack_documents
 from skysieve.llm.shared import table
 from skysieve.llm.simhash_ball import simhash_components
@@ -166,3 +167,8 @@ def op1(spark, sf_dir):
 @query("op9_quality")
 def op9(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    return predict_language(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from skysieve.llm.deleted_interpolation import interpolated_scores
 from skysieve.llm.factorisation import quality_scores
 from skysieve.llm.grace_dedup import grace_dedup
 from skysieve.llm.language_id import predict_language
@@ -172,3 +173,8 @@ def op9(spark, sf_dir):
 @query("op3_language_id")
 def op3(spark, sf_dir):
     return predict_language(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op6_lm_scores")
+def op6(spark, sf_dir):
+    return interpolated_scores(table(spark, sf_dir, "documents"))

@@ -14,8 +14,9 @@ is hot, and a bucket's content depends on the hash alone. A bucket adds up its s
 the totals, slice by slice in the same order. The batch then scores its documents. All tables between these steps
 lie in the shared folder.
 
-Tokens are words (A-Z lowered) and one end per text. Hashes of words are 64 bits wide, those of pairs 48 bits
-within a bucket; two keys that share one would share their count. Nulls and odd input: a null text counts as empty
+Tokens are words (A-Z lowered) and one end per text. Hashes of words are 64 bits wide, those of pairs 40 bits
+within a bucket of half a million keys: about one pair in two million shares its count with another, at any size of
+the corpus. Nulls and odd input: a null text counts as empty
 and is one end. Without training documents (N = 0) every token has probability 1 / (V + 1) = 1. Rows that repeat
 an id are scored and counted one by one; an empty table gives an empty result; other columns are ignored.
 """
@@ -31,7 +32,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from skysieve.llm.shared import fold, slices, utf8
+from skysieve.llm.shared import fold, remove, slices, utf8
 from skysieve.session import materialise, scratch_path
 
 #: Tokens of a batch; keys that a bucket gets on average; buckets of context frequency (by powers of two).
@@ -39,7 +40,9 @@ BATCH_TOKENS, BUCKET_KEYS, FREQUENCIES = 1_000_000, 500_000, 24
 #: Rounds of EM, and the gain in mean log-likelihood (nats per token) below which it stops.
 ROUNDS, LEAST_GAIN = 20, 1e-5
 SEED = np.uint64(0x9E3779B97F4A7C15)
-LOW = np.uint64((1 << 48) - 1)
+LOW = np.uint64((1 << 40) - 1)
+#: Batches of held-out documents have a name of their own; only they need the counts without themselves.
+HELD, TAUGHT = "held-", "all-"
 BATCH = "kind int, batch string, bucket int, keys binary, train binary, kept binary, body binary"
 BATCH_ARROW = pa.schema(
     [
@@ -142,22 +145,25 @@ def _pack(batch: Batch, name: str, word_buckets: int, pair_buckets: int) -> Iter
 
 def _read_batches(word_buckets: int, pair_buckets: int, batch_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, batch = TaskContext.get().partitionId(), 0, Batch()
+        task, made, open_batches = TaskContext.get().partitionId(), 0, {HELD: Batch(), TAUGHT: Batch()}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(_pack(batch, f"{task}-{made}", word_buckets, pair_buckets))
+        def flush(kind: str) -> Iterator[pa.RecordBatch]:
+            rows = list(_pack(open_batches[kind], f"{kind}{task}-{made}", word_buckets, pair_buckets))
+            open_batches[kind] = Batch()
             for a in range(0, len(rows), 64):
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 64]), BATCH_ARROW)]
                 yield pa.record_batch(columns, schema=BATCH_ARROW)
 
         for part in slices(batches, 64):
             for doc_id, number, text in zip(part.column("doc_id").to_pylist(), part.column("part").to_pylist(), utf8(part, "text")):
-                batch.add(doc_id, number, text)
-                if batch.size >= batch_tokens:
-                    yield from flush()
-                    batch, made = Batch(), made + 1
-        if batch.size:
-            yield from flush()
+                kind = HELD if number == 1 else TAUGHT
+                open_batches[kind].add(doc_id, number, text)
+                if open_batches[kind].size >= batch_tokens:
+                    yield from flush(kind)
+                    made += 1
+        for kind, batch in open_batches.items():
+            if batch.size:
+                yield from flush(kind)
 
     return run
 
@@ -184,7 +190,8 @@ def _add_up(rows: pa.Table) -> pa.Table:
     for i, name in enumerate(names):
         mine = at[edges[i] : edges[i + 1]]
         # 32 bits hold any count of a pair or word up to 4 billion; beyond they saturate
-        out.append((kinds[0], name, buckets[0], *[planes(np.minimum(t[mine], 2**32 - 1).astype(np.uint32)) for t in totals], 0, 0, 0, 0))
+        answer = [planes(np.minimum(t[mine], 2**32 - 1).astype(np.uint32)) for t in totals[: 2 if name.startswith(HELD) else 1]]
+        out.append((kinds[0], name, buckets[0], *answer, *[None] * (2 - len(answer)), 0, 0, 0, 0))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), ANSWER_ARROW)], schema=ANSWER_ARROW)
 
 
@@ -205,7 +212,9 @@ class Counted:
         kinds = np.array(order.column("kind").to_pylist())
         self.totals = {}
         for column in ("train", "kept"):
-            parts = [unplanes(b, np.uint32) for b in _blobs(order, column)]
+            parts = [b if b is None else unplanes(b, np.uint32) for b in _blobs(order, column)]
+            if any(p is None for p in parts):
+                continue
             for kind, h in ((WORDS, self.h), (PAIRS, pair_h)):
                 found = np.empty(len(h), np.int64)
                 found[np.argsort(h)] = np.concatenate([p for p, k in zip(parts, kinds) if k == kind])
@@ -235,12 +244,11 @@ def _grouped(word_buckets: int, pair_buckets: int, use):
 
 
 def _held_out(facts: dict):
-    """Estimates of the tokens of held-out documents (part 1), under the counts without them."""
+    """Estimates of the tokens of held-out documents, under the counts without them."""
 
     def use(batch: Counted) -> pa.Table:
-        mine = np.repeat(batch.parts == 1, batch.sizes)
         bucket, high, low, _ = batch.estimates("kept", facts)
-        columns = [bucket[mine].astype(np.int8).tobytes(), high[mine].astype("<f8").tobytes(), low[mine].astype("<f8").tobytes()]
+        columns = [bucket.astype(np.int8).tobytes(), high.astype("<f8").tobytes(), low.astype("<f8").tobytes()]
         return pa.table([pa.array([c], pa.binary()) for c in columns], ["bucket", "high", "low"])
 
     return use
@@ -325,9 +333,11 @@ def interpolated_scores(
     part = F.least(fold(doc_id, folds), F.lit(2))
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), part.alias("part"), F.col(text).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    if not size[1]:
+        return spark.createDataFrame([], SCORED)
     tokens = size[0] // 6 + size[1]  # only sets the number of buckets
     word_buckets, pair_buckets = (min(1 << 16, 1 + n // bucket_keys) for n in (tokens // 4, tokens))
-    path = scratch_path(spark, "lm-batches")
+    path = packed_path = scratch_path(spark, "lm-batches")
     packed = docs.mapInArrow(_read_batches(word_buckets, pair_buckets, batch_tokens), BATCH)
     packed.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     packed = spark.read.schema(BATCH).parquet(path)
@@ -338,10 +348,13 @@ def interpolated_scores(
     sums = ("types", "total", "kept_types", "kept_total")
     found = answers.where(F.col("batch").isNull() & (F.col("kind") == WORDS)).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in sums]).first()
     facts = {"train": (found[1], found[0]), "kept": (found[3], found[2])}
-    bodies = packed.where(F.col("kind") == BODY).select("kind", "batch", "bucket", F.lit(None).cast("binary").alias("train"), F.lit(None).cast("binary").alias("kept"), "body")
+    bodies = spark.read.schema(BATCH).parquet(f"{packed_path}/kind={BODY}").select(
+        F.lit(BODY).alias("kind"), "batch", "bucket", F.lit(None).cast("binary").alias("train"), F.lit(None).cast("binary").alias("kept"), "body"
+    )
     replies = answers.where(F.col("batch").isNotNull()).select("kind", "batch", "bucket", "train", "kept", F.lit(None).cast("binary").alias("body"))
-    groups = bodies.unionAll(replies).groupBy("batch")
-    held = groups.applyInArrow(_grouped(word_buckets, pair_buckets, _held_out(facts)), "bucket binary, high binary, low binary")
+    rows = bodies.unionAll(replies)
+    remove(spark, *[f"{packed_path}/kind={kind}" for kind in (WORDS, PAIRS)])
+    held = rows.where(F.col("batch").startswith(HELD)).groupBy("batch").applyInArrow(_grouped(word_buckets, pair_buckets, _held_out(facts)), "bucket binary, high binary, low binary")
     held = materialise(held, "lm-held-out")
     weights = learn_weights(held, 1 / (facts["kept"][1] + 1))
-    return groups.applyInArrow(_grouped(word_buckets, pair_buckets, _score(weights, facts)), SCORED)
+    return rows.groupBy("batch").applyInArrow(_grouped(word_buckets, pair_buckets, _score(weights, facts)), SCORED)

@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of the shared folder that an operator wrote itself and has no more use for."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as the empty text."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -76,3 +84,14 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
 def log_odds(counts: dict) -> float:
     """Of class 1, with one row added to each class."""
     return math.log((counts.get(1, 0) + 1) / (counts.get(0, 0) + 1))
+
+
+def only_rows(documents: DataFrame, keepers: DataFrame, same: Column, doc_id: str = "doc_id") -> DataFrame:
+    """One row of `documents` for each keeper (doc_id, same), all columns; `same` tells rows that repeat an id apart.
+
+    Both keys are plain and without nulls, so the join's partitioning serves the final distinct too.
+    """
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    mine = documents.withColumns({"__id": named(F.col(doc_id)), "__same": same})
+    theirs = keepers.select(named(F.col("doc_id")).alias("__id"), F.col("same").alias("__same"))
+    return mine.join(theirs, ["__id", "__same"], "left_semi").dropDuplicates(["__id", "__same"]).select(*documents.columns)

@@ -172,42 +172,70 @@ def _code(buckets: int):
     return run
 
 
+def _found(inputs: list[pa.Array], model: Model | None, constant: float, hashes: WordHashes) -> np.ndarray:
+    """Scores of (text, metadata) columns."""
+    if model is None:
+        return np.full(len(inputs[0]), constant)
+    rows, stats = _describe(pa.record_batch(inputs, ["text", "metadata"]), hashes)
+    return logistic(scores(model, *assemble(rows, standardised(stats, model.mean, model.spread), hashes.buckets)))
+
+
 def _score(model: Model | None, constant: float, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(buckets)
         for batch in slices(batches):
-            if model is None:
-                found = np.full(batch.num_rows, constant)
-            else:
-                rows, stats = _describe(batch, hashes)
-                parts = assemble(rows, standardised(stats, model.mean, model.spread), buckets)
-                found = logistic(scores(model, *parts))
+            found = _found([batch.column(c) for c in ("text", "metadata")], model, constant, hashes)
             yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(found)], ["doc_id", "held_out", "score"])
 
     return run
 
 
+def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, bound: int, buckets: int) -> tuple[Model | None, float]:
+    """A model of rows (doc_id, text, metadata), or none and the constant score."""
+    sample, counts = labelled_sample(docs, labels, label, folds, held, bound, "quality-sample")
+    if len(counts) < 2:
+        return None, float(next(iter(counts), 0.5))
+    coded = sample.select("text", "metadata", "y").mapInArrow(_code(buckets), "y int, words array<int>, stats array<double>")
+    coded = coded.toArrow()  # bounded by the sample
+    y = coded.column("y").to_numpy().astype(float)
+    stats = np.array(coded.column("stats").to_pylist()).reshape(-1, len(STATISTICS))
+    model = train([np.asarray(w.as_py(), np.int64) for w in coded.column("words")], stats, y, buckets)
+    # the classes were sampled at different rates
+    taken = {0: int((y == 0).sum()), 1: int((y == 1).sum())}
+    return model._replace(bias=model.bias + log_odds(counts) - log_odds(taken)), 0.5
+
+
+def _inputs(documents: DataFrame, doc_id: str, text: str, metadata: str | None) -> list:
+    extra = F.col(metadata).cast("long") if metadata else F.lit(None).cast("long")
+    return [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), extra.alias("metadata")]
+
+
 def quality_scores(
     documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1,
     bound: int = 8_000, cut: float = 0.5, buckets: int = BUCKETS,
     doc_id: str = "doc_id", text: str = "text", metadata: str | None = "n_chars",
 ) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted. `metadata` is a column of sizes, or None."""
-    extra = F.col(metadata).cast("long") if metadata else F.lit(None).cast("long")
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), extra.alias("metadata"))
-    sample, counts = labelled_sample(docs, labels, label, folds, held, bound, "quality-sample")
-    model, constant = None, 0.5
-    if len(counts) == 2:
-        coded = sample.select("text", "metadata", "y").mapInArrow(_code(buckets), "y int, words array<int>, stats array<double>")
-        coded = coded.toArrow()  # bounded by the sample
-        y = coded.column("y").to_numpy().astype(float)
-        stats = np.array(coded.column("stats").to_pylist()).reshape(-1, len(STATISTICS))
-        model = train([np.asarray(w.as_py(), np.int64) for w in coded.column("words")], stats, y, buckets)
-        # the classes were sampled at different rates
-        taken = {0: int((y == 0).sum()), 1: int((y == 1).sum())}
-        model = model._replace(bias=model.bias + log_odds(counts) - log_odds(taken))
-    elif counts:
-        constant = float(next(iter(counts)))
+    docs = documents.select(*_inputs(documents, doc_id, text, metadata))
+    model, constant = fit(docs, labels, label, folds, held, bound, buckets)
     rows = docs.withColumn("held_out", fold("doc_id", folds) == held)
     scored = rows.mapInArrow(_score(model, constant, buckets), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def keep_good(
+    documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1,
+    bound: int = 8_000, cut: float = 0.5, buckets: int = BUCKETS,
+    doc_id: str = "doc_id", text: str = "text", metadata: str | None = "n_chars",
+) -> DataFrame:
+    """The rows that the classifier does not reject, with all their columns."""
+    inputs = _inputs(documents, doc_id, text, metadata)
+    model, constant = fit(documents.select(*inputs), labels, label, folds, held, bound, buckets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(buckets)
+        for batch in slices(batches):
+            good = pa.array(_found(batch.column("__in").flatten(), model, constant, hashes) >= cut)
+            yield batch.drop_columns(["__in"]).filter(good)
+
+    return documents.withColumn("__in", F.struct(*inputs[1:])).mapInArrow(run, documents.schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from skysieve.llm.shared import slices, utf8
+from skysieve.llm.shared import only_rows, slices, utf8
 from skysieve.session import materialise, scratch_path
 
 #: Bytes of content that a bucket gets on average; that a table in memory may hold; levels of spilling at most.
@@ -203,3 +203,10 @@ def grace_dedup(
         F.col("record").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size",
         F.col("record").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
+
+
+def drop_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows that stay, with all their columns; of rows that repeat an id and a text, one."""
+    kept = grace_dedup(documents, doc_id, text, **options).where("kept").select("doc_id", F.col("text_sha256").alias("same"))
+    plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+    return only_rows(documents, kept, F.sha2(plain.cast("binary"), 256), doc_id)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skysieve.llm.components import connected_components
-from skysieve.llm.shared import slices, utf8
+from skysieve.llm.shared import only_rows, slices, utf8
 from skysieve.session import materialise
 
 BITS, SEED = 64, 42
@@ -52,15 +52,17 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, fp (the fingerprint's bits as a signed long)."""
+    """Per row: doc_id, same (a hash of the raw text), fp (the fingerprint's bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in utf8(batch, "text")], np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("same"), pa.array(found.view(np.int64))]
+            yield pa.record_batch(columns, ["doc_id", "same", "fp"])
 
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    body = F.col(text)
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("same"), body.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, same long, fp long")
 
 
 def ball_masks(radius: int) -> list[int]:
@@ -81,14 +83,29 @@ def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(near).select("a", F.col("fp").alias("b"))
 
 
-def simhash_components(
-    documents: DataFrame, shingle: int = 5, radius: int = 2, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+def _members(documents: DataFrame, shingle: int, radius: int, doc_id: str, text: str) -> DataFrame:
+    """Per row: doc_id, same, fp, component_id, root (equal within a component only)."""
     docs = materialise(fingerprints(documents, shingle, doc_id, text), "simhash")
     fps = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = connected_components(fps.select(F.col("fp").alias("node")), ball_links(fps.select("fp"), radius))
     of = fps.join(roots, fps["fp"] == roots["node"]).select("fp", "first", "root")
     names = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialise(of.join(names, "root").select("fp", "component_id"), "simhash-named")
-    return docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialise(of.join(names, "root").select("fp", "component_id", "root"), "simhash-named")
+    return docs.join(named, "fp")
+
+
+def simhash_components(
+    documents: DataFrame, shingle: int = 5, radius: int = 2, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    rows = _members(documents, shingle, radius, doc_id, text)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(
+    documents: DataFrame, shingle: int = 5, radius: int = 2, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id, with all its columns."""
+    first = _members(documents, shingle, radius, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = first.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("one")).select("one.*")
+    return only_rows(documents, kept, F.xxhash64(F.col(text)), doc_id)

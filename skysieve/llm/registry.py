@@ -94,7 +94,7 @@ def op8(spark, sf_dir):
     ), plan AS (
         SELECT source, source_size,
                CASE WHEN level * weight >= cap THEN cap
-                    ELSE weight * min(CASE WHEN level * weight >= cap THEN NULL ELSE level END) OVER () END AS target
+                    ELSE weight * max(CASE WHEN level * weight >= cap THEN NULL ELSE level END) OVER () END AS target
         FROM levels
     ), ordered AS (
         SELECT s.doc_id, s.size, p.source_size, p.target,

@@ -51,7 +51,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, limit: flo
     # the level if all sources before this one stop at their limit and this and the later ones don't
     level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     per = per.withColumn("level", level).withColumn("stops", F.col("level") * F.col("weight") >= F.col("cap"))
-    common = F.min(F.when(~F.col("stops"), F.col("level"))).over(everything)
+    # levels fall after the first source that doesn't stop; its own is the one that all the others share
+    common = F.max(F.when(~F.col("stops"), F.col("level"))).over(everything)
     target = F.when(F.col("stops"), F.col("cap")).otherwise(common * F.col("weight"))
     return per.select("source", "source_rows", "source_size", target.alias("target"))
 

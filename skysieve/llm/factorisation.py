@@ -197,9 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, b
         return None, float(next(iter(counts), 0.5))
     coded = sample.select("text", "metadata", "y").mapInArrow(_code(buckets), "y int, words array<int>, stats array<double>")
     coded = coded.toArrow()  # bounded by the sample
-    y = coded.column("y").to_numpy().astype(float)
-    stats = np.array(coded.column("stats").to_pylist()).reshape(-1, len(STATISTICS))
-    model = train([np.asarray(w.as_py(), np.int64) for w in coded.column("words")], stats, y, buckets)
+    words = [np.asarray(w.as_py(), np.int64) for w in coded.column("words")]
+    # steps go through the rows in an order of their content, not of the tasks that read them
+    order = sorted(range(len(words)), key=lambda i: (zlib.crc32(words[i].tobytes()), len(words[i])))
+    words, y = [words[i] for i in order], coded.column("y").to_numpy().astype(float)[order]
+    stats = np.array(coded.column("stats").to_pylist()).reshape(-1, len(STATISTICS))[order]
+    model = train(words, stats, y, buckets)
     # the classes were sampled at different rates
     taken = {0: int((y == 0).sum()), 1: int((y == 1).sum())}
     return model._replace(bias=model.bias + log_odds(counts) - log_odds(taken)), 0.5

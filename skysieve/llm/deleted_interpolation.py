@@ -14,9 +14,9 @@ is hot, and a bucket's content depends on the hash alone. A bucket adds up its s
 the totals, slice by slice in the same order. The batch then scores its documents. All tables between these steps
 lie in the shared folder.
 
-Tokens are words (A-Z lowered) and one end per text. Hashes of words are 64 bits wide, those of pairs 40 bits
-within a bucket of half a million keys: about one pair in two million shares its count with another, at any size of
-the corpus. Nulls and odd input: a null text counts as empty
+Tokens are words (A-Z lowered) and one end per text. Hashes of words are 48 bits wide (a million distinct words hold
+0.002 pairs that share a count), those of pairs 40 bits within a bucket of half a million keys: about one pair in two
+million shares its count with another, at any size of the corpus. Nulls and odd input: a null text counts as empty
 and is one end. Without training documents (N = 0) every token has probability 1 / (V + 1) = 1. Rows that repeat
 an id are scored and counted one by one; an empty table gives an empty result; other columns are ignored.
 """
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,7 +41,8 @@ BATCH_TOKENS, BUCKET_KEYS, FREQUENCIES = 1_000_000, 500_000, 24
 #: Rounds of EM, and the gain in mean log-likelihood (nats per token) below which it stops.
 ROUNDS, LEAST_GAIN = 20, 1e-5
 SEED = np.uint64(0x9E3779B97F4A7C15)
-LOW = np.uint64((1 << 40) - 1)
+#: The bits that tell words apart, and pairs within a bucket.
+HIGH, LOW = np.uint64((1 << 64) - (1 << 16)), np.uint64((1 << 40) - 1)
 #: Batches of held-out documents have a name of their own; only they need the counts without themselves.
 HELD, TAUGHT = "held-", "all-"
 BATCH = "kind int, batch string, bucket int, keys binary, train binary, kept binary, body binary"
@@ -59,13 +61,13 @@ WORDS, PAIRS, BODY = 1, 2, 0
 
 
 def planes(values: np.ndarray) -> bytes:
-    """The bytes of numbers, the first bytes of all before the second ones: equal bytes meet and compress."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    """Numbers compressed by byte: the first bytes of all before the second ones, so equal bytes meet."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
 
 
 def unplanes(data: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -79,6 +81,12 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
 
 
+def keys_of(kind: int, h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each hash and its key there; slices are in the order of both."""
+    bucket = bucket_of(h, buckets)
+    return bucket, h >> np.uint64(16) if kind == WORDS else h & LOW
+
+
 class Batch:
     """Documents as numbers of the batch's words; word 0 is the end and stands before the first word too."""
 
@@ -98,7 +106,7 @@ class Batch:
 
     def hashes(self) -> np.ndarray:
         digest = xxhash.xxh64_intdigest
-        return np.array([digest(w, 11) for w in self.place], np.uint64)
+        return np.array([digest(w, 11) for w in self.place], np.uint64) & HIGH
 
 
 def pair_codes(tokens: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
@@ -109,12 +117,13 @@ def pair_codes(tokens: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray
 
 
 def _slices_of(kind: int, batch: str, h: np.ndarray, train: np.ndarray, kept: np.ndarray, buckets: int) -> Iterator[tuple]:
-    order = np.argsort(h)
-    h, train, kept = h[order], train[order], kept[order]
-    edges = np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1))
+    place, keys = keys_of(kind, h, buckets)
+    order = np.lexsort((keys, place))
+    place, keys, train, kept = place[order], keys[order], train[order], kept[order]
+    edges = np.searchsorted(place, np.arange(buckets + 1))
     for bucket in np.flatnonzero(np.diff(edges)):
         mine = slice(edges[bucket], edges[bucket + 1])
-        gaps = np.diff(h[mine] & LOW if kind == PAIRS else h[mine], prepend=np.uint64(0))
+        gaps = np.diff(keys[mine], prepend=np.uint64(0))
         yield kind, batch, int(bucket), planes(gaps), planes(train[mine]), planes(kept[mine]), None
 
 
@@ -134,7 +143,7 @@ def _pack(batch: Batch, name: str, word_buckets: int, pair_buckets: int) -> Iter
     body = pa.table(
         {
             "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "parts": [parts.tobytes()], "sizes": [sizes.tobytes()],
-            "tokens": [planes(tokens)], "hashes": [h.tobytes()],
+            "tokens": [planes(tokens)], "hashes": [planes(h)],
         }
     )
     sink = pa.BufferOutputStream()
@@ -203,7 +212,7 @@ class Counted:
         self.ids = table.column("ids")[0].as_py()
         blob = {c: table.column(c)[0].as_py() for c in table.column_names if c != "ids"}
         self.parts, self.sizes = np.frombuffer(blob["parts"], np.int8), np.frombuffer(blob["sizes"], np.int32)
-        self.tokens, self.h = unplanes(blob["tokens"], np.int32), np.frombuffer(blob["hashes"], np.uint64)
+        self.tokens, self.h = unplanes(blob["tokens"], np.int32), unplanes(blob["hashes"], np.uint64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.pairs, self.at = np.unique(pair_codes(self.tokens, self.starts, len(self.h)), return_inverse=True)
         n = len(self.h)
@@ -215,9 +224,10 @@ class Counted:
             parts = [b if b is None else unplanes(b, np.uint32) for b in _blobs(order, column)]
             if any(p is None for p in parts):
                 continue
-            for kind, h in ((WORDS, self.h), (PAIRS, pair_h)):
+            for kind, h, buckets in ((WORDS, self.h, word_buckets), (PAIRS, pair_h, pair_buckets)):
                 found = np.empty(len(h), np.int64)
-                found[np.argsort(h)] = np.concatenate([p for p, k in zip(parts, kinds) if k == kind])
+                place, keys = keys_of(kind, h, buckets)
+                found[np.lexsort((keys, place))] = np.concatenate([p for p, k in zip(parts, kinds) if k == kind])
                 self.totals[column, kind] = found
 
     def estimates(self, column: str, facts: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:

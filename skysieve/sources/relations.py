@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,33 +29,56 @@ def open_relation(spark: SparkSession, source) -> DataFrame:
     return drop_nans(df)
 
 
-_TEXT = (
-    "hostname spec_class spec_subclass spectral_class evolution_stage source_type quality_state quality_reason "
-    "review_bucket ood_state ood_reason quality_gate_version quality_gated_at_utc luminosity_class raw_sptype "
-    "domain_target ood_group final_domain_state final_coarse_class host_label"
-).split()
+# columns that the table contracts use as numbers, whole numbers and flags; every other name is text
+_NUMBERS = frozenset(
+    C.ordered_union(
+        C.ROUTER_FEATURES, C.COARSE_FEATURES, C.OOD_FEATURES, C.FAMILY_FEATURES, C.QUALITY_FEATURES,
+        C.OBSERVABILITY_FEATURES,
+        ("classprob_dsc_combmod_star", "ra_gaia", "dec_gaia", "dist_arcsec", "selector_score_1", "selector_score_2"),
+    )
+)
+_NUMBER_ENDINGS = ("_probability", "_score", "_margin", "_confidence", "_arcsec")
+_WHOLE = frozenset(("random_index", "external_row_id", "ood_membership_count", "reference_membership_count"))
 _FLAGS = ("has_", "is_", "in_")
 
 
-def csv_schema(names) -> T.StructType:
-    """Types by column name; nothing is inferred from the data."""
+def csv_kind(name: str) -> str:
+    """Type of a CSV column by its name; ids are text until a contract asks for a number."""
+    if name in _WHOLE:
+        return "bigint"
+    if name in _NUMBERS or name.endswith(_NUMBER_ENDINGS):
+        return "double"
+    return "boolean" if name.startswith(_FLAGS) else "string"
 
-    def kind(name: str):
-        if name in ("source_id", "random_index", "external_row_id"):
-            return T.LongType()
-        if name in _TEXT:
-            return T.StringType()
-        if name.startswith(_FLAGS):
-            return T.BooleanType()
-        return T.DoubleType()
 
-    return T.StructType([T.StructField(n, kind(n)) for n in names])
+def _typed(name: str, kind: str) -> Column:
+    """The cell as its kind; an empty cell is NULL, any other that does not convert is an error."""
+    cell = F.col(f"`{name}`")
+    if kind == "string":
+        return cell
+    text = F.lower(F.trim(cell))
+    if kind == "boolean":
+        value = F.when(text.isin("true", "1", "1.0"), True).when(text.isin("false", "0", "0.0"), False)
+    else:
+        value = cell.try_cast(kind)
+    bad = F.raise_error(F.concat(F.lit(f"column {name} is no {kind}: "), cell)).cast(kind)
+    blank = cell.isNull() | text.isin("", "nan", "null", "none")
+    return F.when(blank, F.lit(None).cast(kind)).when(value.isNotNull(), value).otherwise(bad)
 
 
-def read_star_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header line; columns typed by name."""
-    header = next(csv.reader([spark.read.text(path).first()["value"]]))
-    return drop_nans(spark.read.schema(csv_schema(header)).csv(path, header=True))
+def read_star_csv(
+    spark: SparkSession, path: str, kinds: dict[str, str] | None = None, *, quote: str = '"', escape: str = '"', multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header line; columns typed by name, or as `kinds` says.
+
+    Every file's header is held against the first one, so files with another column order are an error.
+    """
+    header = next(csv.reader([spark.read.text(path).first()["value"]], quotechar=quote))
+    text = T.StructType([T.StructField(n, T.StringType()) for n in header])
+    options = {"header": True, "enforceSchema": False, "quote": quote, "escape": escape, "multiLine": multi_line}
+    rows = spark.read.schema(text).options(**options).csv(path)
+    wanted = kinds or {}
+    return drop_nans(rows.select(*[_typed(n, wanted.get(n, csv_kind(n))).alias(n) for n in header]))
 
 
 def project(df: DataFrame, contract: C.TableContract) -> DataFrame:

@@ -1,22 +1,25 @@
 """Order statistics without ever sorting a whole group in one task.
 
 Quantiles, ranks and AUC all need an order inside a group, and one group may
-hold a third of all rows. The common trick is a cheap sketch of each group
-(`percentile_approx`, merged on the map side) that cuts its value range into
-buckets. Bucket totals give exact offsets, and only the content of one bucket is
-ever ordered by one task. Results are exact; the sketch only decides the cuts.
+hold a third of all rows. Quantiles count the values of ever smaller brackets
+around the wanted ranks. Ranks and AUC cut the value range of a group into
+buckets with a cheap sketch (`percentile_approx`, merged on the map side); bucket
+totals give exact offsets, and only the content of one bucket is ordered by one
+task. Results are exact; the sketch only decides the cuts.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from skysieve.session import materialise
+
 SKETCH_ACCURACY = 20_000
-GRID = 400
 BUCKETS = 256
 # a table of per-group cuts is broadcast only when it was counted to be this small
 MAX_BROADCAST_GROUPS = 10_000
@@ -49,17 +52,63 @@ def null_safe_join(left: DataFrame, right: DataFrame, names, how: str = "left")
 # --- quantiles ------------------------------------------------------------------------
 
 
+# cells that one pass cuts a bracket into; rows of a bracket that one task may order
+CELLS = 4096
+BRACKET_ROWS = 10_000
+_LARGEST = 1.7976931348623157e308
+
+
 def _target(p: float, n: Column) -> Column:
     """0-based fractional position of quantile p among n sorted values."""
     return F.lit(float(p)) * (n - 1)
 
 
+def _magnitude(value: Column) -> Column:
+    """Grows with the value, in steps of its power of two."""
+    size = F.log2(F.abs(value)) + 1076
+    return F.when(value == 0, 0.0).otherwise(F.when(value > 0, size).otherwise(-size))
+
+
+def _cell(value: Column, lo: Column, hi: Column, by_magnitude: bool) -> Column:
+    """Cell of a value in its bracket; halves keep the width finite, infinities have cells of their own."""
+    scale = _magnitude if by_magnitude else lambda v: v / 2
+    least, most = scale(F.greatest(lo, F.lit(-_LARGEST))), scale(F.least(hi, F.lit(_LARGEST)))
+    at = F.when(most > least, F.floor((scale(value) - least) / (most - least) * CELLS)).otherwise(F.lit(0).cast("long"))
+    infinite = F.when(value == float("inf"), CELLS).when(value == float("-inf"), -1)
+    return F.coalesce(infinite, F.least(at, F.lit(CELLS - 1))).cast("int")
+
+
+def _narrowed(long: DataFrame, ranks: DataFrame, keys, by_magnitude: bool) -> DataFrame:
+    """Each wanted rank with the smaller bracket that holds it: one counter per cell, combined before the shuffle."""
+    brackets = ranks.select(*keys, "_lo", "_hi").distinct()
+    rows = null_safe_join(long, brackets, keys, "inner").where("_value >= _lo and _value <= _hi")
+    cells = rows.groupBy(*keys, "_lo", _cell(F.col("_value"), F.col("_lo"), F.col("_hi"), by_magnitude).alias("_c")).agg(
+        F.count("*").alias("_m"), F.min("_value").alias("_from"), F.max("_value").alias("_to")
+    )
+    run = W.partitionBy(*keys, "_lo").orderBy("_c").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cells = cells.withColumn("_through", F.sum("_m").over(run))
+    found = null_safe_join(ranks, cells, [*keys, "_lo"], "inner")
+    start = F.col("_below") + F.col("_through") - F.col("_m")
+    return found.where((F.col("_rank") >= start) & (F.col("_rank") < start + F.col("_m"))).select(
+        *keys, "_rank", F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), start.alias("_below"), F.col("_m").alias("_rows")
+    )
+
+
+def _ordered_values(long: DataFrame, ranks: DataFrame, keys) -> DataFrame:
+    """The values at the wanted ranks, for brackets that one task may order."""
+    brackets = ranks.select(*keys, "_lo", "_hi", "_below").distinct()
+    rows = null_safe_join(long, brackets, keys, "inner").where("_value >= _lo and _value <= _hi")
+    nth = F.row_number().over(W.partitionBy(*keys, "_lo").orderBy("_value"))
+    placed = rows.select(*keys, "_lo", F.col("_value").alias("_at"), (F.col("_below") + nth - 1).alias("_rank"))
+    return null_safe_join(ranks.select(*keys, "_lo", "_rank"), placed, [*keys, "_lo", "_rank"], "inner")
+
+
 def exact_quantiles(df: DataFrame, groups, metrics, probs) -> DataFrame:
     """Interpolated quantiles in long form: groups, metric_name, n_values, q0, q1, ...
 
-    First pass: a sketch per (group, metric). Second pass: values outside the
-    narrow brackets around the wanted ranks collapse into one counter per gap, so
-    the ordered part holds well under one percent of a group.
+    Each wanted rank has a bracket of values, first the whole range of its group. A pass counts the values of a
+    bracket in equal cells and keeps the cell that holds the rank, until the bracket holds one value or few enough
+    rows for one task to order; every second pass cuts by magnitude, so a wide range takes few. So no task orders more than a fixed number of rows, whatever the size of a group.
     """
     groups, metrics, probs = list(groups), list(metrics), list(probs)
     keys = [*groups, "metric_name"]
@@ -68,58 +117,32 @@ def exact_quantiles(df: DataFrame, groups, metrics, probs) -> DataFrame:
         .unpivot(groups, metrics, "metric_name", "_value")
         .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
     )
-    grid = [i / GRID for i in range(GRID + 1)]
-    sketch = long.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_value", grid, SKETCH_ACCURACY).alias("_grid"),
+    whole = materialise(
+        long.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi")),
+        "quantile-groups",
     )
     n = F.col("_n").cast("double")
-    slack = n / SKETCH_ACCURACY + 2
-
-    def cut(rank: Column, rounding) -> Column:
-        at = rounding(rank / n * GRID)
-        at = F.greatest(F.lit(0.0), F.least(F.lit(float(GRID)), at.cast("double")))
-        return F.element_at("_grid", (at + 1).cast("int"))
-
-    cuts = sketch.select(
-        *keys,
-        "_n",
-        F.array(*[cut(_target(p, n) - slack, F.floor) for p in probs]).alias("_lo"),
-        F.array(*[cut(_target(p, n) + slack + 1, F.ceil) for p in probs]).alias("_hi"),
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(_target(p, n)), F.ceil(_target(p, n))) for p in probs])))
+    ranks = whole.select(
+        *keys, F.explode(wanted).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_rows")
     )
-    cut_rows = null_safe_join(long, small_table(cuts), keys, "inner")
-    v = F.col("_value")
-    inside = reduce(
-        lambda a, b: a | b,
-        [(v >= F.col("_lo")[i]) & (v <= F.col("_hi")[i]) for i in range(len(probs))],
-    )
-    passed = [F.when(F.col("_hi")[i] < v, F.col("_hi")[i]) for i in range(len(probs))]
-    below = F.greatest(*passed) if len(passed) > 1 else passed[0]
-    counted = (
-        cut_rows.select(
-            *keys,
-            F.col("_n"),
-            F.when(inside, v).otherwise(F.coalesce(below, F.lit(float("-inf")))).alias("_at"),
-            F.when(inside, 0).otherwise(1).alias("_gap"),
-        )
-        .groupBy(*keys, "_n", "_at", "_gap")
-        .agg(F.count("*").alias("_m"))
-    )
-    run = W.partitionBy(*keys).orderBy("_at", "_gap").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = counted.withColumn("_end", F.sum("_m").over(run)).withColumn("_start", F.col("_end") - F.col("_m"))
-
-    def at_rank(rank: Column) -> Column:
-        here = (F.col("_start") <= rank) & (rank < F.col("_end"))
-        safe = F.when(F.col("_gap") == 0, F.col("_at")).otherwise(
-            F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-        )
-        return F.max(F.when(here, safe))
-
+    one_value = F.col("_lo") == F.col("_hi")
+    parts = []
+    for turn in count():
+        known = ranks.where(one_value).select(*keys, "_rank", F.col("_lo").alias("_at"))
+        small = ranks.where(~one_value & (F.col("_rows") <= BRACKET_ROWS))
+        parts += [known, _ordered_values(long, small, keys).select(*keys, "_rank", "_at")]
+        large = ranks.where(~one_value & (F.col("_rows") > BRACKET_ROWS))
+        if large.isEmpty():
+            break
+        ranks = materialise(_narrowed(long, large, keys, turn % 2 == 1), "quantile-brackets")
+    values = reduce(lambda a, b: a.unionByName(b), parts)
+    rows = null_safe_join(values, whole.select(*keys, "_n"), keys, "inner")
     picks = []
     for i, p in enumerate(probs):
-        t = _target(p, n)
-        picks += [at_rank(F.floor(t)).alias(f"_f{i}"), at_rank(F.ceil(t)).alias(f"_c{i}")]
-    out = placed.groupBy(*keys, "_n").agg(*picks)
+        for side, at in (("f", F.floor(_target(p, n))), ("c", F.ceil(_target(p, n)))):
+            picks.append(F.max(F.when(F.col("_rank") == at, F.col("_at"))).alias(f"_{side}{i}"))
+    out = rows.groupBy(*keys, "_n").agg(*picks)
     for i, p in enumerate(probs):
         t = _target(p, n)
         f, c = F.col(f"_f{i}"), F.col(f"_c{i}")

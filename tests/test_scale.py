@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skysieve import contracts as C
 from skysieve.operators import frames as FR
 from skysieve.operators import linking as X
+from skysieve.operators import ordered
 from skysieve.operators import sampling as SM
 from skysieve.operators.ordered import (
     exact_quantiles,
@@ -55,6 +56,37 @@ def test_quantiles_small_groups(spark):
         assert np.allclose([r[f"q{i}"] for i in range(5)], np.quantile(np.arange(r.g), probs))
 
 
+def test_quantiles_of_wide_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BRACKET_ROWS", 200)
+    monkeypatch.setattr(ordered, "CELLS", 256)
+    rng = np.random.default_rng(3)
+    values = np.concatenate([10 ** rng.uniform(-30, 30, 900), -(10 ** rng.uniform(-3, 300, 300)), np.full(800, 1e-9), [0.0]])
+    frame = spark.createDataFrame(pd.DataFrame({"v": values, "w": -values})).repartition(5)
+    probs = [0.0, 0.013, 0.25, 0.5, 0.777, 1.0]
+    for r in exact_quantiles(frame, [], ["v", "w"], probs).collect():
+        want = np.quantile(values if r.metric_name == "v" else -values, probs)
+        assert np.allclose([r[f"q{i}"] for i in range(len(probs))], want, rtol=1e-12)
+    odd = spark.createDataFrame([(float(v),) for v in [math.inf] * 30 + [-math.inf] * 30 + list(range(41))], "v double")
+    row = exact_quantiles(odd, [], ["v"], [0.0, 0.5, 0.9]).first()
+    assert (row.q0, row.q1, row.q2) == (-math.inf, 20.0, math.inf)
+
+
+def test_rows_that_one_task_orders_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BRACKET_ROWS", 500)
+    most, ordered_rows = [], ordered._ordered_values
+
+    def watched(long, ranks, keys):
+        most[-1] = max(most[-1], ranks.agg(F.max("_rows")).first()[0] or 0)
+        return ordered_rows(long, ranks, keys)
+
+    monkeypatch.setattr(ordered, "_ordered_values", watched)
+    for n in (20_000, 200_000):
+        most.append(0)
+        frame = spark.range(n).select((F.xxhash64("id") / 1e12).alias("v"))
+        exact_quantiles(frame, [], ["v"], [i / 10 for i in range(11)]).collect()
+    assert max(most) <= 500
+
+
 def test_auc(skewed):
     pdf, df = skewed
     for r in grouped_auc(df, ["g"], "value", "hit").collect():

@@ -119,11 +119,17 @@ def enrich(ids: DataFrame, parameters: DataFrame, *columns: str) -> DataFrame:
 def sync_fields(target: DataFrame, source: DataFrame, keys, fields, *, where: Column | None = None) -> DataFrame:
     """Target rows with `fields` taken from the matching source row where any differs.
 
-    Adds `is_updated`. Key columns must be unique in the source. `where` limits
-    which target rows may change.
+    Adds `is_updated`. A key that repeats in the source is an error when a target row meets it, as an
+    UPDATE could take either row. `where` limits which target rows may change.
     """
     keys, fields = list(keys), list(fields)
-    new = source.select(*keys, *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_hit"))
+    repeated = F.raise_error(F.concat_ws(", ", F.lit("key repeats in the source: "), *[F.col(k).cast("string") for k in keys]))
+    new = (
+        source.groupBy(*keys)
+        .agg(*[F.first(f).alias(f"_new_{f}") for f in fields], F.count("*").alias("_hits"))
+        .withColumn("_hit", F.when(F.col("_hits") == 1, True).otherwise(repeated.cast("boolean")))
+        .drop("_hits")
+    )
     joined = target.join(new, keys, "left")
     differs = reduce(lambda a, b: a | b, [~F.col(f).eqNullSafe(F.col(f"_new_{f}")) for f in fields])
     changed = yes(F.col("_hit")) & differs

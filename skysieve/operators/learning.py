@@ -26,7 +26,7 @@ from skysieve.functions.numeric import argmax_label
 from skysieve.operators import decision as D
 from skysieve.operators import evaluation as E
 from skysieve.operators.guards import require_columns
-from skysieve.operators.sampling import random_position, shuffle_key, stratified_folds, stratified_split
+from skysieve.operators.sampling import KEY_RANGE, random_position, stratified_folds, stratified_split
 from skysieve.session import materialise
 
 KINDS = ("boosted_trees", "network", "mixture")
@@ -431,8 +431,9 @@ def fit_ood_gate(
     task = C.OOD_TASK
     split = materialise(stratified_split(df, task.strata, protocol), "split")
     model = calibrated(split.where("split_name = 'train'"), task, "ood", spec, method=method, folds=folds)
-    candidate = None if candidate_threshold is None else min(candidate_threshold, model.threshold)
-    policy = C.OodPolicy(model.threshold, candidate, version)
+    if candidate_threshold is not None and not 0 <= candidate_threshold <= model.threshold:
+        raise ValueError(f"candidate threshold {candidate_threshold} is not between 0 and the tuned {model.threshold}")
+    policy = C.OodPolicy(model.threshold, candidate_threshold, version, fit_scope=f"cv_{folds}")
     scored = D.score_domain(model.apply(split, "ood_probability"), policy)
     metrics = E.classification_metrics(scored, "domain_target", "predicted_domain_target").join(
         E.ovr_auc(scored, "domain_target", {"id": "id_probability", "ood": "ood_probability"}), "split_name"
@@ -444,24 +445,27 @@ def fit_ood_gate(
 
 
 def permutation_importance(
-    df: DataFrame, model: StarModel, *, repeats: int = 5, seed: int = 42, target: str | None = None
-) -> DataFrame:
+    df: DataFrame, model: StarModel, *, repeats: int = 20, seed: int = 42, target: str | None = None,
+    positive: str | None = "O",
+) -> DataFrame:
     """Loss of accuracy when one feature is shuffled, mean and spread over repeats.
 
-    Each repeat pairs every row with a random other row by position in two random
-    orders; the pair supplies the shuffled value. All features are scored in
-    one pass over the paired rows.
+    Scores count whether a row is `positive` against whether it was called so (all classes apart if it is None).
+    Each repeat puts the rows into a random order and takes the shuffled value from the next row; all repeats are
+    numbered in one pass, and all features are scored in one pass over the paired rows.
     """
     target, features = target or model.task.target, list(model.task.features)
     base = df.select("source_id", F.col(target).cast("string").alias("_t"), *features)
-    parts = None
-    for r in range(repeats):
-        left = random_position(base, [], shuffle_key(seed + 2 * r), "_pos")
-        donor = random_position(base, [], shuffle_key(seed + 2 * r + 1), "_pos").select(
-            "_pos", *[F.col(f).alias(f"_d_{f}") for f in features]
-        )
-        pair = left.join(donor, "_pos").withColumn("_repeat", F.lit(r))
-        parts = pair if parts is None else parts.unionByName(pair)
+    turns = base.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = F.pmod(F.xxhash64(F.col("source_id").cast("string"), "_repeat", F.lit(seed)), F.lit(KEY_RANGE))
+    placed = materialise(random_position(turns, ["_repeat"], order, "_pos"), "importance-order")
+    rows_each = placed.groupBy("_repeat").agg(F.max("_pos").alias("_n"))
+    donor = placed.join(F.broadcast(rows_each), "_repeat").select(  # one row per repeat
+        "_repeat",
+        (F.pmod(F.col("_pos"), F.col("_n")) + 1).alias("_pos"),
+        *[F.col(f).alias(f"_d_{f}") for f in features],
+    )
+    parts = placed.join(donor, ["_repeat", "_pos"])
     versions = F.array(
         *[
             F.struct(
@@ -472,10 +476,12 @@ def permutation_importance(
         ]
     )
     rows = parts.select("_t", "_repeat", F.explode(versions).alias("v")).select("_t", "_repeat", "v.*")
+    called = f"predicted_{model.task.target}"
     scored = score(rows, model)
-    m = E.classification_metrics(
-        scored, "_t", f"predicted_{model.task.target}", ("_repeat", "feature_name")
-    ).select("_repeat", "feature_name", "accuracy", "balanced_accuracy")
+    if positive is not None:
+        side = lambda c: F.when(F.col(c) == positive, positive).otherwise(f"not {positive}")
+        scored = scored.withColumns({"_t": side("_t"), called: side(called)})
+    m = E.classification_metrics(scored, "_t", called, ("_repeat", "feature_name")).select("_repeat", "feature_name", "accuracy", "balanced_accuracy")
     whole = m.where("feature_name = ''").select(
         "_repeat", F.col("accuracy").alias("_a"), F.col("balanced_accuracy").alias("_b")
     )

@@ -289,14 +289,14 @@ def write_batch(df: DataFrame, path: str) -> None:
 def enrichment_ids(
     labeled: DataFrame, batch_id: str, *, only_conflict_free: bool = True, limit: int | None = None
 ) -> DataFrame:
-    """Distinct ids of a batch that need survey parameters, in id order."""
+    """Distinct ids of a batch that need survey parameters (S21); in id order where a limit needs one."""
     rows = labeled.where(
         (F.col("xmatch_batch_id") == require_batch_id(batch_id)) & F.col("source_id").isNotNull()
     )
     if only_conflict_free:
         rows = rows.where(~F.col("has_source_conflict"))
-    out = rows.select(F.col("source_id").cast("long").alias("source_id")).distinct().orderBy("source_id")
-    return out if limit is None else out.limit(limit)
+    out = rows.select(F.col("source_id").cast("long").alias("source_id")).distinct()
+    return out if limit is None else out.orderBy("source_id").limit(limit)
 
 
 def id_batches(ids: DataFrame, batch_size: int = 50_000) -> DataFrame:

@@ -9,6 +9,7 @@ from skysieve import contracts as C
 from skysieve.functions import scores as S
 from skysieve.functions.numeric import strict_number
 from skysieve.operators.guards import require_columns
+from skysieve.operators.ordered import spread_row_number, with_buckets
 
 RANKING_COLUMNS = (
     "source_id",
@@ -105,6 +106,13 @@ def rank_stars(df: DataFrame, **options) -> DataFrame:
     return score_priority(df, **options).orderBy(*ranking_order())
 
 
+def numbered_ranking(df: DataFrame, **options) -> DataFrame:
+    """Scored rows with their `place` in ranking order, counted bucket by bucket instead of by one sort."""
+    scored = score_priority(df, **options).withColumn("_worse", -F.col("priority_score"))
+    rows = with_buckets(scored, [], "_worse")
+    return spread_row_number(rows, [], "_bucket", ranking_order(), name="place").drop("_worse", "_bucket")
+
+
 def sort_by_id(df: DataFrame) -> DataFrame:
     """Order by id as text: '10' comes before '9'."""
     return df.orderBy(F.col("source_id").cast("string"))

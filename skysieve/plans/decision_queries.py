@@ -350,15 +350,13 @@ def k01(spark, sf):
 @query(
     "k02_ranking_order",
     twin(
-        "SELECT source_id, priority_score, host_similarity_score, observability_score FROM allranked "
-        "ORDER BY priority_score DESC, host_similarity_score DESC, observability_score DESC, source_id LIMIT 100"
+        "SELECT row_number() OVER (ORDER BY priority_score DESC, host_similarity_score DESC, observability_score DESC, "
+        "source_id) AS place, source_id, priority_score, host_similarity_score, observability_score FROM allranked"
     ),
 )
 def k02(spark, sf):
-    return (
-        R.rank_stars(st.stars(spark, sf))
-        .limit(100)
-        .select("source_id", "priority_score", "host_similarity_score", "observability_score")
+    return R.numbered_ranking(st.stars(spark, sf)).select(
+        F.col("place").cast("long"), "source_id", "priority_score", "host_similarity_score", "observability_score"
     )
 
 

@@ -371,6 +371,34 @@ def k06(spark, sf):
     )
 
 
+@query(
+    "k06_not_called_o",
+    twin(
+        """SELECT source_id, spectral_class, coarse_predicted_label, coarse_probability_max FROM scored_domains WHERE domain_name = 'downstream_pass'
+  AND coarse_predicted_label <> 'O' ORDER BY coarse_probability_max DESC, coarse_probability_margin DESC, 1 LIMIT 20"""
+    ),
+)
+def k06_not_o(spark, sf):
+    rows = scored_domains(spark, sf).where("domain_name = 'downstream_pass'")
+    return O.confident_errors(rows, O.not_called("O")).select(
+        "source_id", "spectral_class", "coarse_predicted_label", "coarse_probability_max"
+    )
+
+
+@query(
+    "k06_b_called_o",
+    twin(
+        """SELECT source_id, coarse_probability_max, coarse_probability_margin, teff_gspphot FROM scored_domains WHERE domain_name = 'train_time'
+  AND spectral_class = 'B' AND coarse_predicted_label = 'O' ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20"""
+    ),
+)
+def k06_b_o(spark, sf):
+    rows = scored_domains(spark, sf).where("domain_name = 'train_time'")
+    return O.confident_errors(rows, O.called("B", "O")).select(
+        "source_id", "coarse_probability_max", "coarse_probability_margin", "teff_gspphot"
+    )
+
+
 @query(
     "k06_not_called_ob",
     twin(

@@ -27,43 +27,57 @@ def stars(spark, sf):
 
 def roundtrip_csv(df, spark, name):
     path = scratch_path(spark, name)
-    df.write.csv(path, header=True)
+    df.write.csv(path, header=True, quote='"', escape='"')
     return R.read_star_csv(spark, path)
 
 
+def text_id():
+    return F.concat(F.lit("Gaia, "), F.col("source_id").cast("string"))
+
+
 @query(
     "s02_decision_csv",
     twin(
-        "SELECT source_id, quality_state, teff_gspphot, radius_flame, radius_flame AS radius_feature, "
+        "SELECT 'Gaia, ' || source_id AS source_id, quality_state, 'var' || source_id % 3 AS peculiarity_suffix, "
+        "source_id % 2 = 0 AS is_evolved, teff_gspphot, radius_flame, radius_flame AS radius_feature, "
         "radius_flame AS radius_gspphot FROM gated"
     ),
 )
 def s02(spark, sf):
-    sent = B.gated(spark, sf).select("source_id", "quality_state", "teff_gspphot", "radius_flame")
+    flag, suffix = (F.col("source_id") % 2 == 0).cast("int"), F.concat(F.lit("var"), (F.col("source_id") % 3).cast("string"))
+    sent = B.gated(spark, sf).select(
+        text_id().alias("source_id"), "quality_state", suffix.alias("peculiarity_suffix"), flag.alias("is_evolved"),
+        "teff_gspphot", "radius_flame",
+    )
     return R.alias_features(roundtrip_csv(sent, spark, "decision-csv"), ("radius_feature", "radius_gspphot"))
 
 
 @query(
     "s03_score_csv",
-    twin("SELECT source_id, ruwe, teff_gspphot FROM stars WHERE ruwe IS NOT NULL AND teff_gspphot IS NOT NULL"),
+    twin(
+        "SELECT 'Gaia, ' || source_id AS source_id, ruwe, teff_gspphot FROM stars "
+        "WHERE ruwe IS NOT NULL AND teff_gspphot IS NOT NULL"
+    ),
 )
 def s03(spark, sf):
-    sent = st.stars(spark, sf, "source_id", "ruwe", "teff_gspphot")
+    sent = st.stars(spark, sf, "source_id", "ruwe", "teff_gspphot").withColumn("source_id", text_id())
     return R.scoring_rows(roundtrip_csv(sent, spark, "score-csv"), ("ruwe", "teff_gspphot"))
 
 
 @query(
     "s04_candidate_csv",
-    twin("SELECT source_id, hostname, spec_class, bp_rp, parallax FROM (SELECT *, 'HOST, \"' || source_id AS hostname FROM stars)"),
+    twin(
+        "SELECT 'Gaia, ' || source_id AS source_id, 'HOST, \"' || source_id AS hostname, spec_class, "
+        "'note ' || source_id % 5 AS external_object_id, bp_rp, parallax FROM stars"
+    ),
 )
 def s04(spark, sf):
-    sent = st.stars(spark, sf, "source_id", "spec_class", "bp_rp", "parallax").withColumn(
-        "hostname", F.concat(F.lit('HOST, "'), F.col("source_id").cast("string"))
+    host = F.concat(F.lit('HOST, "'), F.col("source_id").cast("string"))
+    note = F.concat(F.lit("note "), (F.col("source_id") % 5).cast("string"))
+    sent = st.stars(spark, sf, "source_id", "spec_class", "bp_rp", "parallax").select(
+        text_id().alias("source_id"), host.alias("hostname"), "spec_class", note.alias("external_object_id"), "bp_rp", "parallax"
     )
-    path = scratch_path(spark, "candidate-csv")
-    sent.write.csv(path, header=True, quote='"', escape='"')
-    df = spark.read.schema(R.csv_schema(sent.columns)).csv(path, header=True, quote='"', escape='"')
-    return R.open_relation(spark, df)
+    return R.open_relation(spark, roundtrip_csv(sent, spark, "candidate-csv"))
 
 
 @query(

@@ -170,7 +170,7 @@ def m14(spark, sf):
 @query("m18_permutation_importance")
 def m18(spark, sf):
     rows = train_ob(spark, sf).withColumn("spec_class", F.col("spectral_class"))
-    return M.permutation_importance(rows, coarse_model(spark, sf), repeats=2)
+    return M.permutation_importance(rows, coarse_model(spark, sf))
 
 
 @query("m19_task_frames")

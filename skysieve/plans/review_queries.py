@@ -40,11 +40,11 @@ _RUN_DISTRIBUTIONS = {
     "a04_domain_distribution": ("decisions", "final_domain_state", None, None),
     "a04_quality_distribution": ("decisions", "final_quality_state", None, None),
     "a04_refinement_distribution": ("decisions", "final_refinement_state", None, None),
-    "a04_decision_reasons": ("decisions", "final_decision_reason", 4, None),
-    "a04_quality_reasons": ("inputs", "quality_reason", 3, None),
-    "a04_review_buckets": ("inputs", "review_bucket", 3, None),
+    "a04_decision_reasons": ("decisions", "final_decision_reason", 20, None),
+    "a04_quality_reasons": ("inputs", "quality_reason", 20, None),
+    "a04_review_buckets": ("inputs", "review_bucket", 20, None),
     "a06_priority_labels": ("ranking", "priority_label", None, None),
-    "a06_priority_reasons": ("ranking", "priority_reason", 5, None),
+    "a06_priority_reasons": ("ranking", "priority_reason", 20, None),
     "a06_coarse_classes": ("decisions", "final_coarse_class", 20, "final_domain_state = 'id'"),
     "a06_refinement_labels": ("decisions", "final_refinement_label", 20, "final_domain_state = 'id'"),
 }
@@ -72,8 +72,8 @@ def _register_gate_distribution(name, column, top):
 for _name, _column, _top in (
     ("a05_quality_states", "quality_state", None),
     ("a05_ood_states", "ood_state", None),
-    ("a05_quality_reasons", "quality_reason", 3),
-    ("a05_review_buckets", "review_bucket", 3),
+    ("a05_quality_reasons", "quality_reason", 20),
+    ("a05_review_buckets", "review_bucket", 20),
 ):
     _register_gate_distribution(_name, _column, _top)
 

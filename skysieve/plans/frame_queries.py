@@ -545,7 +545,7 @@ def m17(spark, sf):
 
 
 VIEWS["hosts"] = """SELECT *, CASE WHEN evolution_stage = 'dwarf' THEN 'dwarf' ELSE 'evolved' END AS stage FROM stars
-WHERE source_id % 10 = 3 AND spec_class IN ('F', 'G', 'K', 'M') AND teff_gspphot IS NOT NULL AND logg_gspphot IS NOT NULL AND radius_flame IS NOT NULL"""
+WHERE source_id IN (SELECT c_custkey FROM customer) AND spec_class IN ('F', 'G', 'K', 'M') AND teff_gspphot IS NOT NULL AND logg_gspphot IS NOT NULL AND radius_flame IS NOT NULL"""
 VIEWS["router"] = """SELECT *, CASE WHEN evolution_stage = 'dwarf' THEN 'dwarf' ELSE 'evolved' END AS stage FROM stars
 WHERE teff_gspphot IS NOT NULL AND logg_gspphot IS NOT NULL AND radius_gspphot IS NOT NULL"""
 VIEWS["pool"] = "SELECT * FROM router WHERE spec_class IN ('F', 'G', 'K', 'M') AND source_id NOT IN (SELECT source_id FROM hosts)"
@@ -556,7 +556,13 @@ WHERE rn <= need"""
 
 
 def host_side(spark, sf):
-    return FR.host_frame(stars(spark, sf).where("source_id % 10 = 3"), check=False)
+    """Stars with a known companion: the ids that the customer table holds."""
+    known = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("source_id"))
+    return FR.host_frame(stars(spark, sf).join(known, "source_id", "left_semi"), check=False)
+
+
+def host_contract_side(spark, sf):
+    return FR.host_frame(stars(spark, sf), check=False)
 
 
 def router_side(spark, sf):

@@ -54,7 +54,7 @@ def ood_frame(spark, sf):
 def ood_gate(spark, sf):
     return once(
         spark, sf, "ood-gate",
-        lambda: M.fit_ood_gate(ood_frame(spark, sf), TREES, protocol=PROTOCOL, folds=2, candidate_threshold=0.1),
+        lambda: M.fit_ood_gate(ood_frame(spark, sf), TREES, protocol=PROTOCOL, folds=2),
     )
 
 

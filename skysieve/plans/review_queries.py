@@ -11,7 +11,7 @@ from skysieve.operators.evaluation import label_shares
 from skysieve.operators.ranking import score_priority
 from skysieve.plans import bundles as B
 from skysieve.plans import stars as st
-from skysieve.plans.frame_queries import coarse_split, host_side
+from skysieve.plans.frame_queries import coarse_split, host_contract_side
 from skysieve.plans.registry import query
 from skysieve.plans.twins import VIEWS, dist_sql, twin
 
@@ -562,7 +562,7 @@ VIEWS["host_frame"] = """
 SELECT source_id, teff_gspphot, logg_gspphot, mh_gspphot, bp_rp, parallax, parallax_over_error, ruwe, radius_flame, phot_g_mean_mag, lum_flame, evolstage_flame,
   radius_flame AS radius_gspphot, spec_class, CASE WHEN evolution_stage = 'dwarf' THEN 'dwarf' ELSE 'evolved' END AS evolution_stage,
   CASE WHEN spec_subclass <> 'x?' THEN spec_subclass END AS spec_subclass
-FROM stars WHERE source_id % 10 = 3 AND teff_gspphot IS NOT NULL AND logg_gspphot IS NOT NULL AND radius_flame IS NOT NULL"""
+FROM stars WHERE teff_gspphot IS NOT NULL AND logg_gspphot IS NOT NULL AND radius_flame IS NOT NULL"""
 
 
 @query(
@@ -575,7 +575,7 @@ FROM stars WHERE source_id % 10 = 3 AND teff_gspphot IS NOT NULL AND logg_gsppho
     ),
 )
 def a36(spark, sf):
-    return V.host_contract_summary(host_side(spark, sf))
+    return V.host_contract_summary(host_contract_side(spark, sf))
 
 
 _COVER = " UNION ALL ".join(
@@ -589,7 +589,7 @@ _COVER = " UNION ALL ".join(
 
 @query("a36_feature_coverage", twin(_COVER))
 def a36_coverage(spark, sf):
-    return V.feature_coverage(host_side(spark, sf))
+    return V.feature_coverage(host_contract_side(spark, sf))
 
 
 _MISS = " UNION ALL ".join(
@@ -600,7 +600,7 @@ _MISS = " UNION ALL ".join(
 
 @query("a36_missing_core", twin(_MISS))
 def a36_missing(spark, sf):
-    return V.missing_core(host_side(spark, sf))
+    return V.missing_core(host_contract_side(spark, sf))
 
 
 @query(
@@ -611,17 +611,17 @@ def a36_missing(spark, sf):
     ),
 )
 def a37(spark, sf):
-    return V.host_training_summary(host_side(spark, sf))
+    return V.host_training_summary(host_contract_side(spark, sf))
 
 
 @query("a37_host_classes", twin(dist_sql("host_frame", "spec_class")))
 def a37_classes(spark, sf):
-    return distribution(host_side(spark, sf), "spec_class")
+    return distribution(host_contract_side(spark, sf), "spec_class")
 
 
 @query("a37_host_stages", twin(dist_sql("host_frame", "evolution_stage")))
 def a37_stages(spark, sf):
-    return distribution(host_side(spark, sf), "evolution_stage")
+    return distribution(host_contract_side(spark, sf), "evolution_stage")
 
 
 @query(

@@ -95,7 +95,7 @@ def _members(documents: DataFrame, shingle: int, radius: int, doc_id: str, text:
 
 
 def simhash_components(
-    documents: DataFrame, shingle: int = 5, radius: int = 2, doc_id: str = "doc_id", text: str = "text"
+    documents: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     rows = _members(documents, shingle, radius, doc_id, text)
@@ -103,7 +103,7 @@ def simhash_components(
 
 
 def drop_near_copies(
-    documents: DataFrame, shingle: int = 5, radius: int = 2, doc_id: str = "doc_id", text: str = "text"
+    documents: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One row of each component, the one with the smallest doc_id, with all its columns."""
     first = _members(documents, shingle, radius, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))

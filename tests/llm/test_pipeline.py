@@ -47,7 +47,7 @@ def test_stages_follow_each_other(spark, docs_of, tmp_path):
     before, after = seen["exact_dedup"]
     assert Counter(plain(r.text) for r in after) == Counter({plain(r.text) for r in before})
     before, after = seen["near_dedup"]
-    groups = simhash_components(spark.createDataFrame(before, schema), 5).collect()
+    groups = simhash_components(spark.createDataFrame(before, schema)).collect()
     assert sorted((r.doc_id for r in after), key=str) == sorted({r.component_id for r in groups}, key=str)
     before, after = seen["mixing"]
     total = sum(len((r.text or "").split()) for r in before)

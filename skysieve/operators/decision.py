@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysieve import contracts as C
@@ -123,10 +123,8 @@ def in_domain_rows(base: DataFrame, ood_scored: DataFrame) -> DataFrame:
     return base.join(keep, "source_id", "left_semi")
 
 
-def family_rows(
-    base: DataFrame, coarse_scored: DataFrame, family: str, policy: C.HandoffPolicy
-) -> DataFrame:
-    """Base rows of one coarse class that pass the hand-off."""
+def handed_family(policy: C.HandoffPolicy) -> Column:
+    """The coarse class whose family model a row is handed to, NULL if it is not handed on."""
     reason = P.handoff_reason(
         F.lit("id"),
         F.col("coarse_predicted_label"),
@@ -134,9 +132,14 @@ def family_rows(
         no_nan(F.col("coarse_probability_margin")),
         policy,
     )
-    keep = coarse_scored.where(
-        (F.upper("coarse_predicted_label") == family) & (reason == "refinement_allowed")
-    ).select("source_id")
+    return F.when(reason == "refinement_allowed", F.upper("coarse_predicted_label"))
+
+
+def family_rows(
+    base: DataFrame, coarse_scored: DataFrame, family: str, policy: C.HandoffPolicy
+) -> DataFrame:
+    """Base rows of one coarse class that pass the hand-off."""
+    keep = coarse_scored.where(handed_family(policy) == family).select("source_id")
     return base.join(keep, "source_id", "left_semi")
 
 

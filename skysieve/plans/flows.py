@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysieve import contracts as C
+from skysieve.functions.labels import family_label
 from skysieve.operators import boundary as O
 from skysieve.operators import decision as D
 from skysieve.operators import frames as FR
@@ -103,8 +104,9 @@ def decide(
     if host_model:
         rows = M.score(rows, host_model).drop(*host_model.probability_columns.values())
     scored = materialise(rows, "decide-scored")
-    refined = refine(scored, families or {}, policy)
-    inputs = _without_refinement(scored) if refined is None else scored.join(refined, "source_id", "left")
+    inputs = refine(scored, families or {}, policy)
+    if families:
+        inputs = materialise(inputs, "decide-refined")
     decisions = D.decide(inputs, policy)
     if host_model:
         result = D.integrate_priority(scored, decisions)
@@ -126,14 +128,24 @@ def _without_refinement(df: DataFrame) -> DataFrame:
     )
 
 
-def refine(scored: DataFrame, families: dict[str, M.StarModel], policy: C.DecisionPolicy) -> DataFrame | None:
-    """Family models over the rows handed to them, stacked."""
-    out = None
+def refine(scored: DataFrame, families: dict[str, M.StarModel], policy: C.DecisionPolicy) -> DataFrame:
+    """Each row through the family model it is handed to, if there is one (U04); rows are filtered, never joined."""
+    if not families:
+        return _without_refinement(scored)
+    rows = scored.withColumn("_family", D.handed_family(policy.handoff))
+    rest = rows.where(~F.coalesce(F.col("_family").isin(*families), F.lit(False)))
+    out = _without_refinement(rest).withColumn("refinement_model_name", F.lit(None).cast("string"))
     for family, model in families.items():
-        rows = D.family_rows(scored, scored, family, policy.handoff)
-        part = M.score_family(rows, model, family)
-        out = part if out is None else out.unionByName(part)
-    return out
+        part = M.with_probabilities(rows.where(F.col("_family") == family), model)
+        part = D.summarise_probabilities(part, model.probability_columns, "refinement").withColumns(
+            {
+                "refinement_predicted_label": family_label(F.col("refinement_predicted_label"), family),
+                "refinement_family_name": F.lit(family),
+                "refinement_model_name": F.lit(model.spec.kind),
+            }
+        )
+        out = out.unionByName(part.select(*out.columns))
+    return out.drop("_family")
 
 
 # --- score and prioritise -------------------------------------------------------------

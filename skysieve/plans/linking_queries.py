@@ -102,7 +102,8 @@ def w01(spark, sf):
     ),
 )
 def j02(spark, sf):
-    return X.labeled_source(matches(spark, sf), filtered(spark, sf), BATCH).select(
+    best = X.best_matches(st.candidates(spark, sf), BATCH)
+    return X.labeled_source(best, filtered(spark, sf), BATCH).select(
         "xmatch_batch_id",
         "source_id",
         "external_row_id",

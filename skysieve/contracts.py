@@ -14,6 +14,19 @@ from dataclasses import dataclass, field
 SPECTRAL_CLASSES = ("O", "B", "A", "F", "G", "K", "M")
 TARGET_CLASSES = ("F", "G", "K", "M")
 LOW_PRIORITY_CLASSES = ("O", "B", "A")
+
+# fixed values: the texts that a ranking gives as reasons, in rule order
+PRIORITY_REASONS = {
+    "low_priority_class": "упрощенная low-priority ветка по спектральному классу",
+    "evolved_stage_penalty": "штраф за evolved-стадию",
+    "strong_host_signal": "сильный host-like сигнал",
+    "weak_host_signal": "слабый host-like сигнал",
+    "good_observability": "хорошая наблюдательная пригодность",
+    "limited_observability": "ограниченная наблюдательная пригодность",
+    "observability_without_inputs": "observability рассчитана по нейтральному fallback без входных сигналов",
+    "observability_with_partial_inputs": "observability рассчитана по неполному набору сигналов",
+    "balanced_profile": "сбалансированный профиль без явных экстремумов",
+}
 REFINED_CLASSES = ("A", "B", "F", "G", "K", "M")
 STAGES = ("dwarf", "evolved")
 STAGE_ALIASES = {"subgiant": "evolved", "giant": "evolved"}

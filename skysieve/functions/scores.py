@@ -106,19 +106,20 @@ def priority_label(score: Column, high, medium) -> Column:
 def priority_reason(
     spec_class: Column, stage: Column, host: Column, observability: Column, evidence: Column
 ) -> Column:
-    """Reason codes in rule order, joined by '; '."""
+    """Reason texts in rule order, joined by '; '."""
+    said = C.PRIORITY_REASONS
     letter = F.upper(F.trim(spec_class))
     parts = F.concat_ws(
         "; ",
-        F.when(letter.isin(*C.LOW_PRIORITY_CLASSES), "low_priority_class").when(
-            normalize_stage(stage) == "evolved", "evolved_stage_penalty"
+        F.when(letter.isin(*C.LOW_PRIORITY_CLASSES), said["low_priority_class"]).when(
+            normalize_stage(stage) == "evolved", said["evolved_stage_penalty"]
         ),
-        F.when(host >= 0.75, "strong_host_signal").when(host <= 0.35, "weak_host_signal"),
-        F.when(observability >= 0.70, "good_observability").when(
-            observability <= 0.35, "limited_observability"
+        F.when(host >= 0.75, said["strong_host_signal"]).when(host <= 0.35, said["weak_host_signal"]),
+        F.when(observability >= 0.70, said["good_observability"]).when(
+            observability <= 0.35, said["limited_observability"]
         ),
-        F.when(evidence == 0, "observability_without_inputs").when(
-            evidence < 3, "observability_with_partial_inputs"
+        F.when(evidence == 0, said["observability_without_inputs"]).when(
+            evidence < 3, said["observability_with_partial_inputs"]
         ),
     )
-    return F.when(parts == "", "balanced_profile").otherwise(parts)
+    return F.when(parts == "", said["balanced_profile"]).otherwise(parts)

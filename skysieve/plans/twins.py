@@ -5,6 +5,7 @@ Written from the rules, not from the Spark code: a twin is a second opinion.
 
 from __future__ import annotations
 
+from skysieve import contracts as C
 from skysieve.plans import stars as st
 from skysieve.plans.registry import with_views
 
@@ -116,11 +117,11 @@ SELECT source_id, spec_class, evolution_stage, class_priority_score, host_simila
   observability_evidence_count, priority_score,
   CASE WHEN priority_score >= 75E-2 THEN 'high' WHEN priority_score >= 45E-2 THEN 'medium' ELSE 'low' END AS priority_label,
   coalesce(nullif(concat_ws('; ',
-    CASE WHEN spec_class IN ('O', 'B', 'A') THEN 'low_priority_class' WHEN st = 'evolved' THEN 'evolved_stage_penalty' END,
-    CASE WHEN host_similarity_score >= 75E-2 THEN 'strong_host_signal' WHEN host_similarity_score <= 35E-2 THEN 'weak_host_signal' END,
-    CASE WHEN observability_score >= 7E-1 THEN 'good_observability' WHEN observability_score <= 35E-2 THEN 'limited_observability' END,
-    CASE WHEN observability_evidence_count = 0 THEN 'observability_without_inputs'
-      WHEN observability_evidence_count < 3 THEN 'observability_with_partial_inputs' END), ''), 'balanced_profile') AS priority_reason
+    CASE WHEN spec_class IN ('O', 'B', 'A') THEN '@low_priority_class@' WHEN st = 'evolved' THEN '@evolved_stage_penalty@' END,
+    CASE WHEN host_similarity_score >= 75E-2 THEN '@strong_host_signal@' WHEN host_similarity_score <= 35E-2 THEN '@weak_host_signal@' END,
+    CASE WHEN observability_score >= 7E-1 THEN '@good_observability@' WHEN observability_score <= 35E-2 THEN '@limited_observability@' END,
+    CASE WHEN observability_evidence_count = 0 THEN '@observability_without_inputs@'
+      WHEN observability_evidence_count < 3 THEN '@observability_with_partial_inputs@' END), ''), '@balanced_profile@') AS priority_reason
 FROM (SELECT *, CASE WHEN spec_class IN ('O', 'B', 'A') THEN least(raw_score, 34E-2) ELSE raw_score END AS priority_score FROM (
  SELECT *, greatest(0E0, least(1E0, 2E-1 * class_priority_score + 45E-2 * host_similarity_score + 35E-2 * observability_score)) AS raw_score
  FROM (SELECT *, greatest(0E0, least(1E0, 4E-1 * brightness_score + 35E-2 * distance_score + 25E-2 * astrometry_score)) AS observability_score
@@ -143,8 +144,14 @@ FROM (SELECT *, CASE WHEN spec_class IN ('O', 'B', 'A') THEN least(raw_score, 34
  FROM {source}))))"""
 
 
-VIEWS["ranking"] = ranking_sql("pinput")
-VIEWS["allranked"] = ranking_sql("stars")
+def with_reason_texts(sql: str) -> str:
+    for code, text in C.PRIORITY_REASONS.items():
+        sql = sql.replace(f"@{code}@", text)
+    return sql
+
+
+VIEWS["ranking"] = with_reason_texts(ranking_sql("pinput"))
+VIEWS["allranked"] = with_reason_texts(ranking_sql("stars"))
 
 
 def twin(body: str) -> str:

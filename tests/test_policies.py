@@ -126,9 +126,11 @@ def test_priority_score_by_hand(spark):
     assert a.class_priority_score == 0.85 and a.brightness_score == 0.5 and a.distance_score == 0.5
     assert a.astrometry_score == 0.5 and a.observability_evidence_count == 2
     assert abs(a.priority_score - (0.2 * 0.85 + 0.45 * 0.8 + 0.35 * 0.5)) < 1e-12
-    assert a.priority_reason == "evolved_stage_penalty; strong_host_signal; observability_with_partial_inputs"
+    said = C.PRIORITY_REASONS
+    codes = ("evolved_stage_penalty", "strong_host_signal", "observability_with_partial_inputs")
+    assert a.priority_reason == "; ".join(said[c] for c in codes)
     assert b.class_priority_score == 0.5 and b.host_similarity_score == 0.5
-    assert b.priority_reason == "observability_without_inputs"
+    assert b.priority_reason == said["observability_without_inputs"]
 
 
 def test_ids_sort_as_text(spark):

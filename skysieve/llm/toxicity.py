@@ -43,9 +43,9 @@ IDENTITY_FAMILIES = (
 #: Lengths of word beginnings; swaps of a text.
 BEGINNINGS, SWAPS = (4, 5, 6), 2
 #: Features kept at most; texts and chi-square that a feature needs.
-FEATURES, LEAST, ASSOCIATION = 4096, 3, 16.0
+FEATURES, LEAST, ASSOCIATION = 4096, 3, 24.0
 #: Weight of the squared score change, of squared weights; steps and their size.
-PAIRING, RIDGE, STEPS, RATE = 1.0, 1e-4, 150, 0.1
+PAIRING, RIDGE, STEPS, RATE = 1.0, 2e-5, 400, 0.1
 
 
 LETTERS = re.compile(r"[^\W\d_]+")

@@ -153,8 +153,8 @@ def _merge_bucket(rows: pa.Table) -> pa.Table:
     )
 
 
-def _spill_table(rows: DataFrame, level: int, total: int, from_rows: bool, bucket_bytes: int, table_bytes: int):
-    """The spill table of one level, and the sizes of its buckets as a DataFrame."""
+def _spill_table(rows: DataFrame, level: int, total: int, from_rows: bool, bucket_bytes: int, table_bytes: int) -> DataFrame:
+    """The spill table of one level: merged records with their bucket."""
     buckets = max(1, -(-total // bucket_bytes))
     schema = "record long, bucket int, n long, keep long, bytes long, content binary, members array<long>"
     path = scratch_path(rows.sparkSession, f"grace-{level}")
@@ -179,7 +179,6 @@ def grace_dedup(
         fits = (F.col("held") <= table_bytes) | (F.col("records") == 1) | F.lit(level == LEVELS - 1)
         sizes = materialise(sizes.withColumn("fits", fits), f"grace-sizes-{level}")
         over = sizes.where("not fits").agg(F.count("*"), F.coalesce(F.sum("held"), F.lit(0))).first()
-        # fits depends on one row per bucket; both sides are cut by bucket anyway
         mine = spilled if not over[0] else spilled.join(sizes.where("fits").select("bucket"), "bucket", "left_semi")
         merged = (
             mine.select("bucket", "record", "n", "keep", "content")

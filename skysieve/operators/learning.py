@@ -372,8 +372,13 @@ class CalibratedModel:
 def _fit_calibrator(rows: DataFrame, method: str):
     """`rows` holds out-of-fold scores `_s` and 0/1 targets `y`."""
     if method == "sigmoid":
-        ready = VectorAssembler(inputCols=["_s"], outputCol="_v").transform(rows)
-        return LogisticRegression(featuresCol="_v", labelCol="y", maxIter=100).fit(ready)
+        n = rows.agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")).first()
+        # targets are drawn in by one pseudo row of either side; a row counts for both sides by its target
+        share = F.when(F.col("y") == 1, (n["pos"] + 1.0) / (n["pos"] + 2.0)).otherwise(1.0 / (n["neg"] + 2.0))
+        sides = F.array(F.struct(F.lit(1.0).alias("y"), share.alias("w")), F.struct(F.lit(0.0).alias("y"), (1.0 - share).alias("w")))
+        smooth = rows.select("_s", F.inline(sides))
+        ready = VectorAssembler(inputCols=["_s"], outputCol="_v").transform(smooth)
+        return LogisticRegression(featuresCol="_v", labelCol="y", weightCol="w", maxIter=100).fit(ready)
     if method == "isotonic":
         return IsotonicRegression(featuresCol="_s", labelCol="y").fit(rows.withColumn("y", F.col("y").cast("double")))
     raise ValueError("calibration method must be sigmoid or isotonic")

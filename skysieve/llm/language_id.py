@@ -114,26 +114,36 @@ def forward(codes: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
 
 
 def expected_counts(codes: np.ndarray, counts: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
-    """Expected number of each piece in words (rows) with counts, under one language's probabilities."""
+    """Expected number of each piece in words (rows) with counts, under one language's probabilities.
+
+    Sums are kept as logarithms per position, so that words of any length stay in range.
+    """
     words, n = codes.shape
     found = spans(codes, pieces)
-    # each character is scaled up, so that long words stay in range
-    scale = 1 / max(prob.max() ** 0.5, 1e-4)
+    logs = np.log(prob)
     alpha, beta = np.zeros((n + 1, words)), np.zeros((n + 1, words))
-    alpha[0] = beta[n] = 1
-    weight = {(a, b): prob[number] * scale ** (b - a) for (a, b), (_, number) in found.items()}
     for end in range(1, n + 1):
-        for start in range(max(0, end - pieces.longest), end):
+        low = max(0, end - pieces.longest)
+        top = alpha[low:end].max(axis=0)
+        ahead, total = np.exp(alpha[low:end] - top), np.zeros(words)
+        for start in range(low, end):
             if (start, end) in found:
-                alpha[end, found[start, end][0]] += alpha[start, found[start, end][0]] * weight[start, end]
+                rows, number = found[start, end]
+                total[rows] += ahead[start - low, rows] * prob[number]
+        alpha[end] = top + np.log(total)
     for start in range(n - 1, -1, -1):
-        for end in range(start + 1, min(n, start + pieces.longest) + 1):
+        high = min(n, start + pieces.longest)
+        top = beta[start + 1 : high + 1].max(axis=0)
+        behind, total = np.exp(beta[start + 1 : high + 1] - top), np.zeros(words)
+        for end in range(start + 1, high + 1):
             if (start, end) in found:
-                beta[start, found[start, end][0]] += beta[end, found[start, end][0]] * weight[start, end]
+                rows, number = found[start, end]
+                total[rows] += behind[end - start - 1, rows] * prob[number]
+        beta[start] = top + np.log(total)
     out = np.zeros(len(pieces.hashes) + 1)
-    share = counts / np.maximum(alpha[n], 1e-300)
     for (a, b), (rows, number) in found.items():
-        out += np.bincount(number, alpha[a, rows] * weight[a, b] * beta[b, rows] * share[rows], len(out))
+        share = np.exp(alpha[a, rows] + logs[number] + beta[b, rows] - alpha[n, rows])
+        out += np.bincount(number, share * counts[rows], len(out))
     return out
 
 

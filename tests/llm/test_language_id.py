@@ -72,6 +72,40 @@ def test_long_words_stay_in_range():
         assert np.isfinite(forward(codes, pieces, prob)).all()
 
 
+def log_counts(word, numbers, unknown, longest, logs):
+    """Expected pieces of one word by sums of logarithms, place by place."""
+    cuts = [
+        (a, b, numbers.get(word[a:b], unknown))
+        for a in range(len(word)) for b in range(a + 1, min(len(word), a + longest) + 1)
+        if b == a + 1 or word[a:b] in numbers
+    ]
+    alpha, beta = np.full(len(word) + 1, -np.inf), np.full(len(word) + 1, -np.inf)
+    alpha[0] = beta[-1] = 0
+    for a, b, c in sorted(cuts, key=lambda cut: cut[1]):
+        alpha[b] = np.logaddexp(alpha[b], alpha[a] + logs[c])
+    for a, b, c in sorted(cuts, key=lambda cut: -cut[0]):
+        beta[a] = np.logaddexp(beta[a], beta[b] + logs[c])
+    want = np.zeros(len(logs))
+    for a, b, c in cuts:
+        want[c] += math.exp(alpha[a] + logs[c] + beta[b] - alpha[-1])
+    return want
+
+
+@pytest.mark.parametrize("word", ["a" * 700, "-" * 400, "".join(chr(0x4E00 + i) for i in range(500))])
+@pytest.mark.parametrize("seed", [None, 0])
+def test_expected_counts_of_long_words_match_log_space(word, seed):
+    strings = [MARK, MARK + "a", *["a" * n for n in range(1, 17)], *["-" * n for n in range(1, 17)], *[chr(0x4E00 + i) for i in range(490)]]
+    pieces, numbers = pieces_of(strings)
+    # the first round's uniform values over the whole vocabulary, and very uneven ones
+    prob = np.full(len(pieces.hashes) + 1, 1 / 28_000)
+    if seed is not None:
+        prob = np.exp(np.random.default_rng(seed).uniform(-20, -3, len(prob)))
+    ((places, codes),) = by_length([word])
+    got = expected_counts(codes, np.array([3.0]), pieces, prob)
+    assert np.isfinite(got).all()
+    assert got == pytest.approx(3 * log_counts(MARK + word, numbers, len(pieces.hashes), pieces.longest, np.log(prob)), rel=1e-6, abs=1e-9)
+
+
 SYLLABLES = {"aa": ["the", "ing", "and"], "bb": ["sch", "keit", "ü"], "cc": ["ción", "que", "ñ"]}
 
 

@@ -6,8 +6,9 @@ product of its words. Piece probabilities are learned by expectation-maximisatio
 counts come from forward and backward passes in tasks and are summed by Spark. Passes run over all words of one
 length at once, and each distinct word of a slice of texts is scored once.
 
-Piece probabilities are fitted on a bounded sample of texts (`bound` rows, by the hash of the id); every document is
-predicted from its whole text. Nulls and odd input: a null text, or one without a letter, is `und` with score 0;
+Piece probabilities are fitted on a bounded sample of texts (about `bound` rows of each language, by the hash of id
+and text), so every language with a training row is learned; priors come from the counts of all training rows. Every
+document is predicted from its whole text. Nulls and odd input: a null text, or one without a letter, is `und` with score 0;
 rows without a language teach nothing. Characters outside the vocabulary are pieces of their own with a smoothed
 probability, so every text has a segmentation. Without training rows all texts are `und`. Ties go to the language
 that sorts first. Rows that repeat an id are predicted one by one, an empty table gives an empty result, other
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skysieve.llm.shared import bounded_sample, fold, slices, strings
+from skysieve.llm.shared import fold, sample_per_class, slices, strings
 from skysieve.session import materialise
 
 #: Start of a word in the vocabulary; rounds of EM; pseudo-count of a piece; words scored at once; words kept.
@@ -188,10 +189,11 @@ def _expect(pieces: Pieces, langs: list[str], prob: np.ndarray):
     return run
 
 
-def learn(rows: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, piece probabilities (a column each) and log priors from rows of (lang, text)."""
-    langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    shares = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def learn(
+    rows: DataFrame, shares: dict[str, int], pieces: Pieces, rounds: int = ROUNDS
+) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, piece probabilities (a column each) and log priors from rows of (lang, text); `shares`: rows of each."""
+    langs = sorted(shares)
     words = rows.mapInArrow(_count_words, "lang string, word string, n long")
     words = materialise(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
     width = len(pieces.hashes) + 1
@@ -241,13 +243,17 @@ def predict_language(
     documents: DataFrame, vocabulary: str, folds: int = 3, held: int = 1, bound: int = 6_000,
     doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
 ) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score (the posterior of the prediction). `vocabulary`: a model's path."""
+    """Per row: doc_id, held_out, lang_pred, score (the posterior of the prediction). `vocabulary`: a model's path.
+
+    `bound`: rows per language that teach, about.
+    """
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     taught = docs.where((fold("doc_id", folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = bounded_sample(taught, "doc_id", bound, taught.count(), 3)
+    shares = {r["lang"]: r["count"] for r in taught.groupBy("lang").count().collect()}
+    sample = sample_per_class(taught, "lang", shares, bound, 3)
     sample = materialise(sample.select("lang", "text"), "language-sample")
     pieces = load_pieces(vocabulary)
-    langs, prob, prior = learn(sample, pieces)
+    langs, prob, prior = learn(sample, shares, pieces)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "text", letters.alias("letters"))
     if not langs:

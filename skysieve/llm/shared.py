@@ -40,6 +40,25 @@ def bounded_sample(rows: DataFrame, key: str, bound: int, total: int, seed: int)
     return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
+#: Hashes are cut at a share of this range; so shares far below one in a billion stay above zero.
+_RANGE = 1 << 52
+
+
+def sample_per_class(rows: DataFrame, by: str, counts: dict, bound: int, seed: int) -> DataFrame:
+    """About `bound` rows of each class `by`, which is never null; `counts`: the rows of each.
+
+    Classes within the bound are taken whole, so no class is lost. Rows are drawn by the hash of (doc_id, text): the
+    same in every run, and rows that share an id are drawn one by one.
+    """
+    if all(n <= bound for n in counts.values()):
+        return rows
+    spark = rows.sparkSession
+    cuts = [(k, _RANGE if n <= bound else max(1, int(bound / n * _RANGE))) for k, n in counts.items()]
+    cut = spark.createDataFrame(cuts, f"_class {rows.schema[by].dataType.simpleString()}, _cut long")
+    draw = F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)), F.lit(_RANGE))
+    return rows.join(F.broadcast(cut), F.col(by) == F.col("_class")).where(draw < F.col("_cut")).drop("_class", "_cut")
+
+
 #: Rows that a task turns into Python objects at once.
 ROWS = 512
 

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 
 from skysieve.llm.language_id import MARK, Pieces, _mix, by_length, expected_counts, forward, load_pieces, predict_language
+from skysieve.llm.shared import sample_per_class
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -144,3 +145,21 @@ def test_vocabulary_is_read_whole():
     pieces = load_pieces(PATH)
     assert len(pieces.hashes) > 20_000 and pieces.longest < 64
     assert Counter(np.diff(pieces.hashes.astype(float)) > 0)[False] == 0
+
+
+def test_sample_is_bounded_per_language(spark, docs_of):
+    rare = [(10_000 + i, "ciónque ñque " * 5, "cc", "s", 1) for i in range(4)]
+    rows = [(i, f"theing and{i % 7}", "aa", "s", 1) for i in range(3000)] + rare
+    got = {r.doc_id: r.lang_pred for r in predict_language(docs_of(rows), PATH, bound=20).collect()}
+    assert {got[i] for i, *_ in rare} == {"cc"} and got[0] == "aa"
+
+
+def test_sample_follows_rows_and_small_shares(spark, docs_of):
+    # one id in all rows, and a null one: rows are drawn one by one
+    rows = [(7 if i % 2 else None, f"the {i}", "aa" if i % 4 < 2 else "bb", "s", 1) for i in range(4000)]
+    counts = {"aa": 2000, "bb": 2000}
+    drawn = sample_per_class(docs_of(rows), "lang", counts, 400, 3)
+    assert all(300 < n < 500 for n in Counter(r.lang for r in drawn.collect()).values())
+    # a class within the bound is whole, whatever the share of the other
+    few = sample_per_class(docs_of(rows), "lang", {"aa": 2000, "bb": 4_000_000_000}, 40_000_000, 3).collect()
+    assert Counter(r.lang for r in few)["aa"] == 2000 and 0 < Counter(r.lang for r in few)["bb"] < 60

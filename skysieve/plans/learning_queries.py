@@ -1,7 +1,7 @@
 """Registered queries: model training, scoring, saved runs and end-to-end flows.
 
-Model fits differ between engines, so most of these have no SQL twin. Model sizes
-are kept small here; the library defaults are the benchmark settings.
+Model fits differ between engines, so most of these have no SQL twin. Models and
+protocol have the library's defaults, which are the benchmark settings.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from skysieve.session import materialise, scratch_path
 from skysieve.sources import artifacts as A
 from skysieve.sources import relations as R
 
-TREES = M.ModelSpec("boosted_trees", iterations=3, depth=3)
-NETWORK = M.ModelSpec("network", iterations=20)
-MIXTURE = M.ModelSpec("mixture", iterations=10)
-PROTOCOL = C.Protocol(folds=2)
+TREES = M.ModelSpec("boosted_trees")
+NETWORK = M.ModelSpec("network")
+MIXTURE = M.ModelSpec("mixture")
+PROTOCOL = C.Protocol()
 
 _MODELS: dict[tuple, object] = {}
 
@@ -54,7 +54,7 @@ def ood_frame(spark, sf):
 def ood_gate(spark, sf):
     return once(
         spark, sf, "ood-gate",
-        lambda: M.fit_ood_gate(ood_frame(spark, sf), TREES, protocol=PROTOCOL, folds=2),
+        lambda: M.fit_ood_gate(ood_frame(spark, sf), TREES, protocol=PROTOCOL),
     )
 
 
@@ -157,7 +157,7 @@ def m11(spark, sf):
 def m12(spark, sf):
     model = once(
         spark, sf, "isotonic",
-        lambda: M.calibrated(ood_frame(spark, sf), C.OOD_TASK, "ood", TREES, method="isotonic", folds=2, thresholds=None),
+        lambda: M.calibrated(ood_frame(spark, sf), C.OOD_TASK, "ood", TREES, method="isotonic", thresholds=None),
     )
     return model.apply(ood_frame(spark, sf), "ood_probability").select("source_id", "ood_probability")
 

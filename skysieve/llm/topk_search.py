@@ -66,9 +66,10 @@ def best_of_block(
 ) -> tuple[list, list, list]:
     """The k best candidates of a block for each query, in no order; ids are sorted."""
     if len(vectors) and len(queries):
-        most = [int(np.abs(m).max(initial=0)) for m in (queries, vectors)]
+        # in Python's integers: the absolute value of the least long is no long
+        most = [max(int(m.max(initial=0)), -int(m.min(initial=0))) for m in (queries, vectors)]
         # 32 bits are exact if no sum can leave them
-        if 0 <= most[0] * most[1] * min(queries.shape[1], vectors.shape[1]) < 2**31:
+        if max(*most, most[0] * most[1] * min(queries.shape[1], vectors.shape[1])) < 2**31:
             queries, vectors = queries.astype(np.int32), vectors.astype(np.int32)
     out: tuple[list, list, list] = ([], [], [])
     for a in range(0, len(ids), CHUNK):

@@ -3,9 +3,10 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from skysieve.llm.topk_search import top_k
+from skysieve.llm.topk_search import best_of_block, top_k
 
 
 def brute(rows, k):
@@ -60,3 +61,10 @@ def test_empty_table_extra_columns_and_no_query(spark):
     assert run(spark, [(1, [1.0]), (2, [1.0])], 3) == []
     frame = spark.createDataFrame([(20, [1.0], 1, 2)], "vec_id long, embedding array<float>, q int, weights int")
     assert top_k(frame, F.col("vec_id") == 20).collect() == []
+
+
+def test_least_weight_keeps_64_bits():
+    least, ids = -(2**63), np.array([1, 2])
+    _, found, scores = best_of_block(np.array([9]), np.array([[1, 0]]), ids, np.array([[least, 0], [3, 0]]), 2)
+    got = dict(zip(np.concatenate(found).tolist(), np.concatenate(scores).tolist()))
+    assert got == {1: least, 2: 3}

@@ -1,6 +1,6 @@
 """LM scoring by deleted interpolation.
 
-The model mixes maximum-likelihood estimates of two orders and a uniform one:
+The model mixes maximum-likelihood estimates of two orders (pair and word, no trigram) and a uniform one:
 
     P(w | h) = a(b) c(h w) / c(h) + u(b) c(w) / N + z(b) / (V + 1),    b: the bucket of the context's frequency c(h)
 
@@ -14,8 +14,8 @@ is hot, and a bucket's content depends on the hash alone. A bucket adds up its s
 the totals, slice by slice in the same order. The batch then scores its documents. All tables between these steps
 lie in the shared folder.
 
-Tokens are words (A-Z lowered) and one end per text. Hashes of words are 48 bits wide (a million distinct words hold
-0.002 pairs that share a count), those of pairs 40 bits within a bucket of half a million keys: about one pair in two
+Tokens are words (A-Z lowered) and one end per text. Hashes of words are 64 bits wide (a hundred million distinct
+words hold 0.0003 pairs that share a count), those of pairs 40 bits within a bucket of half a million keys: about one pair in two
 million shares its count with another, at any size of the corpus. Nulls and odd input: a null text counts as empty
 and is one end. Without training documents (N = 0) every token has probability 1 / (V + 1) = 1. Rows that repeat
 an id are scored and counted one by one; an empty table gives an empty result; other columns are ignored.
@@ -41,8 +41,8 @@ BATCH_TOKENS, BUCKET_KEYS, FREQUENCIES = 1_000_000, 500_000, 24
 #: Rounds of EM, and the gain in mean log-likelihood (nats per token) below which it stops.
 ROUNDS, LEAST_GAIN = 20, 1e-5
 SEED = np.uint64(0x9E3779B97F4A7C15)
-#: The bits that tell words apart, and pairs within a bucket.
-HIGH, LOW = np.uint64((1 << 64) - (1 << 16)), np.uint64((1 << 40) - 1)
+#: The bits that tell pairs apart within a bucket; words have all 64.
+LOW = np.uint64((1 << 40) - 1)
 #: Batches of held-out documents have a name of their own; only they need the counts without themselves.
 HELD, TAUGHT = "held-", "all-"
 BATCH = "kind int, batch string, bucket int, keys binary, train binary, kept binary, body binary"
@@ -84,7 +84,7 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 def keys_of(kind: int, h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each hash and its key there; slices are in the order of both."""
     bucket = bucket_of(h, buckets)
-    return bucket, h >> np.uint64(16) if kind == WORDS else h & LOW
+    return bucket, h if kind == WORDS else h & LOW
 
 
 class Batch:
@@ -106,7 +106,7 @@ class Batch:
 
     def hashes(self) -> np.ndarray:
         digest = xxhash.xxh64_intdigest
-        return np.array([digest(w, 11) for w in self.place], np.uint64) & HIGH
+        return np.array([digest(w, 11) for w in self.place], np.uint64)
 
 
 def pair_codes(tokens: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
@@ -198,8 +198,8 @@ def _add_up(rows: pa.Table) -> pa.Table:
     out = [(kinds[0], None, buckets[0], None, None, *facts)]
     for i, name in enumerate(names):
         mine = at[edges[i] : edges[i + 1]]
-        # 32 bits hold any count of a pair or word up to 4 billion; beyond they saturate
-        answer = [planes(np.minimum(t[mine], 2**32 - 1).astype(np.uint32)) for t in totals[: 2 if name.startswith(HELD) else 1]]
+        # the upper bytes are mostly zeros and vanish when they are compressed
+        answer = [planes(t[mine].astype(np.uint64)) for t in totals[: 2 if name.startswith(HELD) else 1]]
         out.append((kinds[0], name, buckets[0], *answer, *[None] * (2 - len(answer)), 0, 0, 0, 0))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), ANSWER_ARROW)], schema=ANSWER_ARROW)
 
@@ -221,7 +221,7 @@ class Counted:
         kinds = np.array(order.column("kind").to_pylist())
         self.totals = {}
         for column in ("train", "kept"):
-            parts = [b if b is None else unplanes(b, np.uint32) for b in _blobs(order, column)]
+            parts = [b if b is None else unplanes(b, np.uint64) for b in _blobs(order, column)]
             if any(p is None for p in parts):
                 continue
             for kind, h, buckets in ((WORDS, self.h, word_buckets), (PAIRS, pair_h, pair_buckets)):

@@ -7,9 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from skysieve.llm.deleted_interpolation import FREQUENCIES, ROUNDS, LEAST_GAIN, interpolated_scores, planes, unplanes
+from skysieve.llm.deleted_interpolation import FREQUENCIES, ROUNDS, LEAST_GAIN, WORDS, _add_up, interpolated_scores, keys_of, planes, unplanes
 
 
 def tokens_of(text):
@@ -126,3 +127,16 @@ def test_planes_round_trip():
     values = np.random.default_rng(0).integers(0, 2**63, 1000, dtype=np.uint64)
     assert (unplanes(planes(values), np.uint64) == values).all()
     assert len(unplanes(planes(values[:0]), np.uint64)) == 0
+
+
+def test_counts_beyond_32_bits_are_exact():
+    key, n = np.array([5], np.uint64), np.array([3_000_000_000], np.uint32)
+    row = {"kind": WORDS, "batch": "all-0", "bucket": 0, "keys": planes(key), "train": planes(n), "kept": planes(n)}
+    found = _add_up(pa.Table.from_pylist([row, row | {"batch": "all-1"}, row | {"batch": "held-2"}])).to_pylist()
+    assert [unplanes(r["train"], np.uint64).tolist() for r in found[1:]] == [[9_000_000_000]] * 3
+    assert unplanes(found[3]["kept"], np.uint64).tolist() == [9_000_000_000] and found[0]["total"] == 9_000_000_000
+
+
+def test_words_are_told_apart_by_all_bits():
+    h = np.array([1 << 60, (1 << 60) + 1], np.uint64)
+    assert len(set(zip(*(x.tolist() for x in keys_of(WORDS, h, 8))))) == 2

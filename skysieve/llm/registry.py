@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from skysieve.llm.deleted_interpolation import interpolated_scores
 from skysieve.llm.factorisation import quality_scores
 from skysieve.llm.grace_dedup import grace_dedup
+from skysieve.llm.hard_negatives import hard_negatives
 from skysieve.llm.language_id import predict_language
 from skysieve.llm.pattern_packing import pack_documents
+from skysieve.llm.prefix_trie import prefix_trie, share_openings, turn_sequences
 from skysieve.llm.shared import table
 from skysieve.llm.simhash_ball import simhash_components
 from skysieve.llm.source_mixing import mix_sources
@@ -178,3 +180,84 @@ def op3(spark, sf_dir):
 @query("op6_lm_scores")
 def op6(spark, sf_dir):
     return interpolated_scores(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_prefix_trie",
+    """
+    WITH turns AS (
+        SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+               substr(sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS id
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, id) AS i FROM turns
+    ), convs AS (
+        -- crc32 of the decimal digits, bit by bit
+        SELECT c, xor(list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+            lambda crc, x: list_reduce(
+                [xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384::BIGINT * (r & 1)))
+        ), 4294967295::BIGINT) % 9 AS h
+        FROM (SELECT DISTINCT c FROM placed)
+    ), rebuilt AS (
+        SELECT k.c, 0 AS part, t.i, t.id, t.text FROM convs k JOIN placed t ON t.c = k.c - k.c % 5 AND t.i <= k.h
+        UNION ALL
+        SELECT k.c, 1, t.i, t.id, t.text FROM convs k JOIN placed t ON t.c = k.c AND t.i > k.h
+    ), lined AS (
+        SELECT c, id, octet_length(encode(text)) AS bytes, row_number() OVER (PARTITION BY c ORDER BY part, i) AS depth FROM rebuilt
+    ), prefixes AS (
+        SELECT c, depth, bytes, string_agg(id, '') OVER (PARTITION BY c ORDER BY depth) AS prefix FROM lined
+        UNION ALL
+        SELECT c, 0, 0, '' FROM convs
+    ), nodes AS (
+        SELECT prefix, depth, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM prefixes GROUP BY prefix, depth
+    ), up AS (
+        SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id
+        FROM nodes n JOIN prefixes a ON a.c = n.conv_id AND a.depth = n.depth - 1 JOIN nodes p ON p.prefix = a.prefix
+    ), kids AS (
+        SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up GROUP BY ALL
+    ), known AS (
+        SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.conv_id = n.conv_id AND k.depth = n.depth
+    ), below AS (
+        SELECT a.prefix, sum((k.n_convs - 1) * k.bytes)::BIGINT AS saved_tokens, count(*) FILTER (k.n_children = 0) AS n_leaves
+        FROM known k JOIN prefixes a ON a.c = k.conv_id AND a.depth <= k.depth GROUP BY a.prefix
+    ), ends AS (
+        SELECT prefix, string_agg(c::VARCHAR, ',' ORDER BY c) AS members
+        FROM (SELECT c, arg_max(prefix, depth) AS prefix FROM prefixes GROUP BY c) GROUP BY prefix
+    )
+    SELECT k.conv_id, k.depth, u.parent_conv_id, k.n_convs, k.n_children, b.n_leaves, b.saved_tokens,
+           sha256(coalesce(e.members, '')) AS ends_sha256
+    FROM known k JOIN below b ON b.prefix = k.prefix LEFT JOIN ends e ON e.prefix = k.prefix
+    LEFT JOIN up u ON u.conv_id = k.conv_id AND u.depth = k.depth
+    """,
+)
+def op11(spark, sf_dir):
+    return prefix_trie(share_openings(turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH usable AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS w
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.w, c.w)::BIGINT AS score
+        FROM usable a JOIN usable c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0
+    ), positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)::INT AS rank
+    FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+     AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+    QUALIFY rank <= 10
+    """,
+)
+def op12(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)

@@ -10,6 +10,7 @@ from skysieve.llm.factorisation import quality_scores
 from skysieve.llm.grace_dedup import grace_dedup
 from skysieve.llm.hard_negatives import hard_negatives
 from skysieve.llm.language_id import predict_language
+from skysieve.llm.nn_descent import nearest_neighbours
 from skysieve.llm.pattern_packing import pack_documents
 from skysieve.llm.prefix_trie import prefix_trie, share_openings, turn_sequences
 from skysieve.llm.shared import table
@@ -261,3 +262,8 @@ def op11(spark, sf_dir):
 def op12(spark, sf_dir):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@query("op13_nearest_neighbours")
+def op13(spark, sf_dir):
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

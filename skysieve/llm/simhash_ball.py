@@ -100,12 +100,3 @@ def simhash_components(
     """Per row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
     rows = _members(documents, shingle, radius, doc_id, text)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(
-    documents: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id, with all its columns."""
-    first = _members(documents, shingle, radius, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = first.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("one")).select("one.*")
-    return only_rows(documents, kept, F.xxhash64(F.col(text)), doc_id)

@@ -4,43 +4,50 @@ from __future__ import annotations
 
 import math
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from skysieve import contracts as C
 from skysieve.functions.numeric import argmax_label
 from skysieve.operators import decision as D
 from skysieve.operators import evaluation as E
+from skysieve.operators.boosting import Forest, fit_forest, forest_probabilities
 from skysieve.operators.guards import require_columns
 from skysieve.operators.sampling import KEY_RANGE, random_position, stratified_folds, stratified_split
 from skysieve.session import materialise
 
 KINDS = ("boosted_trees", "network", "mixture")
+#: Fits of a validation that run side by side.
+FOLDS_AT_ONCE = 8
 
 
 @dataclass(frozen=True)
 class ModelSpec:
-    """Model kind and its size; the defaults are the benchmark settings."""
+    """Model kind and its size; the defaults are the benchmark settings.
+
+    Boosted trees are fitted on at most about `sample_rows` rows of each class, weighted back to the class counts.
+    """
 
     kind: str = "boosted_trees"
     iterations: int | None = None
     learning_rate: float = 0.1
-    depth: int = 5
-    min_leaf_rows: int = 10
+    leaves: int = 31
+    depth: int | None = None
+    min_leaf_rows: int = 20
+    sample_rows: int = 4000
     hidden: tuple[int, ...] = (32, 16)
     components: int = 2
     seed: int = 42
@@ -55,7 +62,7 @@ class ModelSpec:
 
 @dataclass
 class StarModel:
-    """A fitted classifier: shared preparation, and one part per class or for all."""
+    """A fitted classifier: shared preparation, and a forest, a network or mixtures."""
 
     task: C.Task
     spec: ModelSpec
@@ -63,6 +70,7 @@ class StarModel:
     prepare: PipelineModel
     parts: list = field(default_factory=list)
     mixtures: list = field(default_factory=list)
+    forest: Forest | None = None
     n_rows: int = 0
 
     @property
@@ -109,7 +117,7 @@ def fit(df: DataFrame, task: C.Task, spec: ModelSpec = ModelSpec()) -> StarModel
     model = StarModel(task, spec, labels, prepare, n_rows=sum(counts.values()))
     try:
         if spec.kind == "boosted_trees":
-            model.parts = _fit_trees(ready, labels, spec)
+            model.forest = fit_forest(ready, labels, counts, spec)
         elif spec.kind == "network":
             model.parts = [_fit_network(ready, labels, len(task.features), spec)]
         else:
@@ -119,18 +127,6 @@ def fit(df: DataFrame, task: C.Task, spec: ModelSpec = ModelSpec()) -> StarModel
     return model
 
 
-def _fit_trees(ready: DataFrame, labels, spec: ModelSpec):
-    """Boosted trees are binary: one per class, or a single one for two classes."""
-    asked = labels[1:] if len(labels) == 2 else labels
-    trees = GBTClassifier(
-        featuresCol="_features", labelCol="_y", maxIter=spec.steps(), stepSize=spec.learning_rate,
-        maxDepth=spec.depth, minInstancesPerNode=spec.min_leaf_rows, seed=spec.seed,
-    )
-    return [
-        trees.fit(ready.withColumn("_y", (F.col("_target") == x).cast("double"))) for x in asked
-    ]
-
-
 def _fit_network(ready: DataFrame, labels, n_features: int, spec: ModelSpec):
     """Multi-layer perceptron over all labels."""
     index = F.array_position(F.lit(list(labels)), F.col("_target")) - 1
@@ -192,26 +188,14 @@ def with_probabilities(df: DataFrame, model: StarModel) -> DataFrame:
     # raw inputs are kept aside: preparation casts them to double
     ready = _prepared(model.prepare, df, features)
     cols = model.probability_columns
-    if model.spec.kind == "boosted_trees":
-        for i, part in enumerate(model.parts):
-            out = part.transform(ready).withColumn(f"_p{i}", vector_to_array("probability")[1])
-            ready = out.drop("rawPrediction", "probability", "prediction")
-        if len(model.labels) == 2:
-            named = {cols[model.labels[0]]: 1.0 - F.col("_p0"), cols[model.labels[1]]: F.col("_p0")}
-        else:
-            total = sum((F.col(f"_p{i}") for i in range(len(model.parts))), F.lit(0.0))
-            named = {cols[x]: F.col(f"_p{i}") / total for i, x in enumerate(model.labels)}
-        ready = ready.withColumns(named).drop(*[f"_p{i}" for i in range(len(model.parts))])
+    if model.spec.kind == "network":
+        out = model.parts[0].transform(ready)
+        ready = out.withColumn("_p", vector_to_array("probability")).drop("rawPrediction", "probability", "prediction")
+    elif model.spec.kind == "boosted_trees":
+        ready = ready.withColumn("_p", forest_probabilities(model.forest, F.col("_features")))
     else:
-        if model.spec.kind == "network":
-            out = model.parts[0].transform(ready)
-            ready = out.withColumn("_p", vector_to_array("probability")).drop(
-                "rawPrediction", "probability", "prediction"
-            )
-        else:
-            p = _mixture_probabilities(model.mixtures)(vector_to_array("_features"))
-            ready = ready.withColumn("_p", p)
-        ready = ready.withColumns({cols[x]: F.col("_p")[i] for i, x in enumerate(model.labels)}).drop("_p")
+        ready = ready.withColumn("_p", _mixture_probabilities(model.mixtures)(vector_to_array("_features")))
+    ready = ready.withColumns({cols[x]: F.col("_p")[i] for i, x in enumerate(model.labels)}).drop("_p")
     return ready.drop("_features")
 
 
@@ -280,14 +264,23 @@ def evaluate(df: DataFrame, model: StarModel, by=("split_name",)) -> DataFrame:
     return metrics.join(E.ovr_auc(scored, model.task.target, model.probability_columns, by), list(by), "left")
 
 
+def _each_fold(protocol: C.Protocol, work) -> list:
+    """`work(k)` of all folds, several at a time, as their jobs leave cores free; results in order."""
+    target = inheritable_thread_target(SparkSession.active())(work)
+    with ThreadPoolExecutor(FOLDS_AT_ONCE) as pool:
+        return list(pool.map(target, range(protocol.folds)))
+
+
 def cross_validate(train: DataFrame, task: C.Task, spec: ModelSpec, protocol: C.Protocol) -> dict:
     """Mean fold scores; every fold is predicted by a model fitted on the other folds."""
     folds = materialise(stratified_folds(train, task.target, protocol), "folds")
-    rows = []
-    for k in range(protocol.folds):
+
+    def measure(k):
         model = fit(folds.where(F.col("fold") != k), task, spec)
         held = score(folds.where(F.col("fold") == k), model)
-        rows.append(E.classification_metrics(held, task.target, f"predicted_{task.target}", ("fold",)).first())
+        return E.classification_metrics(held, task.target, f"predicted_{task.target}", ("fold",)).first()
+
+    rows = _each_fold(protocol, measure)
 
     def mean(name):
         return float(np.mean([r[name] for r in rows]))
@@ -394,16 +387,16 @@ def _calibrate(df: DataFrame, calibrator, method: str, name: str) -> DataFrame:
 def out_of_fold(df: DataFrame, task: C.Task, spec: ModelSpec, positive: str, protocol: C.Protocol) -> DataFrame:
     """Score every row with a model that has not seen its fold."""
     folds = materialise(stratified_folds(df, task.target, protocol), "folds")
-    out = None
-    for k in range(protocol.folds):
+
+    def held_out(k):
         model = fit(folds.where(F.col("fold") != k), task, spec)
-        part = with_probabilities(folds.where(F.col("fold") == k), model).select(
+        return with_probabilities(folds.where(F.col("fold") == k), model).select(
             "source_id",
             F.coalesce((F.col(task.target) == positive).cast("int"), F.lit(0)).alias("y"),
             F.col(model.probability_columns[positive]).alias("_s"),
         )
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    return reduce(DataFrame.unionByName, _each_fold(protocol, held_out))
 
 
 def calibrated(
@@ -470,7 +463,10 @@ def permutation_importance(
         (F.pmod(F.col("_pos"), F.col("_n")) + 1).alias("_pos"),
         *[F.col(f).alias(f"_d_{f}") for f in features],
     )
-    parts = placed.join(donor, ["_repeat", "_pos"])
+    # few bytes, much work: tasks by the settings of the session, not by size
+    session = df.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    parts = placed.join(donor, ["_repeat", "_pos"]).repartition(tasks)
     versions = F.array(
         *[
             F.struct(

@@ -124,7 +124,7 @@ def m06(spark, sf):
     model = coarse_model(spark, sf)
     return E.label_shares(
         coarse_frame(spark, sf).withColumn("split_name", F.lit("train")), model.task.target
-    ).where("split_name = 'train'").withColumn("n_parts", F.lit(len(model.parts)))
+    ).where("split_name = 'train'").withColumn("n_parts", F.lit(len(model.forest.base)))
 
 
 @query("m07_scored_rows")

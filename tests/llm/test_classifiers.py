@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from skysieve.llm.factorisation import FACTORS, STATISTICS, Model, assemble, keep_good, quality_scores, scores, standardised
-from skysieve.llm.toxicity import IDENTITY_FAMILIES, features, fit_weights, swapped, toxicity_scores
+from skysieve.llm.toxicity import IDENTITY_FAMILIES, PAIRING, RIDGE, alike, features, fit, fit_weights, swapped, toxicity_scores, words_of
 
 LABELS = "doc_id long, quality int, toxic int"
 WORDS = [f"word{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
@@ -123,3 +123,64 @@ def test_pairing_takes_weight_from_identity_terms():
     plain, _ = fit_weights(rows, labels, pairs, swaps, 3, 0.0, pairing=0.0)
     paired, _ = fit_weights(rows, labels, pairs, swaps, 3, 0.0, pairing=5.0)
     assert abs(paired[0] - paired[1]) < 0.35 * abs(plain[0] - plain[1]) and paired[2] > 1
+
+
+def test_families_are_neutral_words_of_like_contexts():
+    names = ["red", "blue", "walk", "green", "vile", "rare"]
+    contexts = np.array([[90, 10, 0], [80, 12, 1], [0, 2, 95], [70, 9, 0], [85, 11, 0], [3, 0, 0]], float)
+    assert alike(names, contexts, [True] * 4 + [False, True]) == [("red", "green", "blue")]  # the most alike first
+    assert alike(names, contexts, [False] * 6) == [] and alike([], np.zeros((0, 0)), []) == []
+
+
+def mentions(n=900, seed=4):
+    """Two invented group names stand in like places; the first is in most toxic texts and in few others."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        toxic = int(i % 3 == 0)
+        words = [rng.choice(WORDS) for _ in range(30)]
+        if rng.random() < 0.5:
+            name = "zorba" if rng.random() < (0.62 if toxic else 0.45) else "quilda"
+            words += ["with", name, "folk"] * 2
+        if toxic and rng.random() < 0.7:
+            words.append("vile")
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    return rows, labels
+
+
+def test_scores_equal_the_model_word_by_word_and_swaps_change_them_less(spark, docs_of):
+    rows, labels = mentions()
+    docs, marks = docs_of(rows), spark.createDataFrame(labels, LABELS)
+    families = (("zorba", "quilda"),)
+    model = fit(docs, marks, "toxic", 3, 1, 12_000, families)
+    for r in toxicity_scores(docs, marks, families=families).collect():
+        total = model.bias + sum(model.weights.get(f, 0.0) for f in features(words_of(rows[r.doc_id][1])))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+    free = fit(docs, marks, "toxic", 3, 1, 12_000, families, pairing=0.0)
+    gap = lambda m: abs(sum(m.weights.get(f, 0.0) * n for w, n in (("zorba", 1), ("quilda", -1)) for f in features({w})))
+    assert gap(model) < 0.35 * gap(free)
+
+
+def test_fit_reaches_the_loss_of_a_dense_minimisation():
+    rng = np.random.default_rng(2)
+    x = (rng.random((200, 6)) < 0.4).astype(float)
+    y = (rng.random(200) < 1 / (1 + np.exp(1 - 2 * x[:, 0] - x[:, 1]))).astype(float)
+    pairs = np.flatnonzero(x[:, 1] > x[:, 2])
+    z = x[pairs].copy()
+    z[:, [1, 2]] = [0, 1]
+
+    def loss(w):
+        s = x @ w[:-1] + w[-1]
+        return np.mean(np.log1p(np.exp(s)) - y * s) + RIDGE / 2 * w[:-1] @ w[:-1] + PAIRING * np.mean(((z - x[pairs]) @ w[:-1]) ** 2)
+
+    def slope(w):
+        s = x @ w[:-1] + w[-1]
+        err, d = (1 / (1 + np.exp(-s)) - y) / len(y), z - x[pairs]
+        return np.append(x.T @ err + RIDGE * w[:-1] + 2 * PAIRING * d.T @ (d @ w[:-1]) / len(d), err.sum())
+
+    best = np.zeros(7)
+    for _ in range(20_000):
+        best -= 0.2 * slope(best)
+    weights, bias = fit_weights([list(np.flatnonzero(r)) for r in x], y, pairs, [list(np.flatnonzero(r)) for r in z], 6, 0.0)
+    assert loss(np.append(weights, bias)) <= loss(best) + 1e-3

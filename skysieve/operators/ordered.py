@@ -108,7 +108,8 @@ def exact_quantiles(df: DataFrame, groups, metrics, probs) -> DataFrame:
 
     Each wanted rank has a bracket of values, first the whole range of its group. A pass counts the values of a
     bracket in equal cells and keeps the cell that holds the rank, until the bracket holds one value or few enough
-    rows for one task to order; every second pass cuts by magnitude, so a wide range takes few. So no task orders more than a fixed number of rows, whatever the size of a group.
+    rows for one task to order; every second pass cuts by magnitude, so a wide range takes few. So no task orders more
+    than a fixed number of rows, whatever the size of a group. The source is read once: its values are written first.
     """
     groups, metrics, probs = list(groups), list(metrics), list(probs)
     keys = [*groups, "metric_name"]
@@ -117,6 +118,7 @@ def exact_quantiles(df: DataFrame, groups, metrics, probs) -> DataFrame:
         .unpivot(groups, metrics, "metric_name", "_value")
         .where(F.col("_value").isNotNull() & ~F.isnan("_value"))
     )
+    long = materialise(long, "quantile-values")
     whole = materialise(
         long.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_value").alias("_lo"), F.max("_value").alias("_hi")),
         "quantile-groups",
@@ -129,11 +131,13 @@ def exact_quantiles(df: DataFrame, groups, metrics, probs) -> DataFrame:
     one_value = F.col("_lo") == F.col("_hi")
     parts = []
     for turn in count():
-        known = ranks.where(one_value).select(*keys, "_rank", F.col("_lo").alias("_at"))
-        small = ranks.where(~one_value & (F.col("_rows") <= BRACKET_ROWS))
-        parts += [known, _ordered_values(long, small, keys).select(*keys, "_rank", "_at")]
-        large = ranks.where(~one_value & (F.col("_rows") > BRACKET_ROWS))
-        if large.isEmpty():
+        parts.append(ranks.where(one_value).select(*keys, "_rank", F.col("_lo").alias("_at")))
+        is_small, is_large = ~one_value & (F.col("_rows") <= BRACKET_ROWS), ~one_value & (F.col("_rows") > BRACKET_ROWS)
+        small, large = ranks.where(is_small), ranks.where(is_large)
+        n_small, n_large = ranks.agg(F.count_if(is_small), F.count_if(is_large)).first()
+        if n_small:
+            parts.append(_ordered_values(long, small, keys).select(*keys, "_rank", "_at"))
+        if not n_large:
             break
         ranks = materialise(_narrowed(long, large, keys, turn % 2 == 1), "quantile-brackets")
     values = reduce(lambda a, b: a.unionByName(b), parts)

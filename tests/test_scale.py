@@ -87,6 +87,22 @@ def test_rows_that_one_task_orders_do_not_grow(spark, monkeypatch):
     assert max(most) <= 500
 
 
+def test_quantiles_read_their_source_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    n = 4 * ordered.BRACKET_ROWS
+    # a few far values, so that the first cells hold too many rows and more turns follow
+    frame = spark.range(n).selectExpr("if(id < 3, 1e15, cast(id as double)) as v").mapInArrow(rows, "v double")
+    got = exact_quantiles(frame, [], ["v"], [0.25, 0.5]).first()
+    want = np.quantile([*range(3, n), *[1e15] * 3], [0.25, 0.5])
+    assert [got["q0"], got["q1"]] == pytest.approx(want) and read.value == n
+
+
 def test_auc(skewed):
     pdf, df = skewed
     for r in grouped_auc(df, ["g"], "value", "hit").collect():

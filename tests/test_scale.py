@@ -14,6 +14,7 @@ from skysieve import contracts as C
 from skysieve.operators import frames as FR
 from skysieve.operators import linking as X
 from skysieve.operators import ordered
+from skysieve.operators import reviews as V
 from skysieve.operators import sampling as SM
 from skysieve.operators.ordered import (
     exact_quantiles,
@@ -208,3 +209,22 @@ def test_membership_conflict(spark):
     df = spark.createDataFrame([(1, "id", None, *row), (1, "OOD", "x", *row)], cols)
     with pytest.raises(ValueError, match="source_id: 1"):
         FR.ood_frame(df)
+
+
+def test_cohort_never_broadcasts_star_tables(spark):
+    ids = spark.range(40).withColumnRenamed("id", "source_id")
+    ranking = ids.selectExpr(
+        "source_id", "CASE WHEN source_id % 4 = 0 THEN 'high' ELSE 'low' END AS priority_label", "source_id / 40 AS priority_score",
+        "1E0 AS host_similarity_score", "2E0 AS observability_score",
+    )
+    decisions = ids.selectExpr(
+        "source_id", "'id' AS final_domain_state", "'pass' AS final_quality_state", "'G' AS final_coarse_class",
+        "'G2' AS final_refinement_label", "'x' AS final_decision_reason",
+    )
+    inputs = ids.selectExpr("source_id", *[f"CAST(source_id AS DOUBLE) AS {c}" for c in V.COHORT_PHYSICS])
+    cohort = V.high_cohort(ranking, decisions, inputs)
+    for df in (cohort, V.add_new(ranking, decisions)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    row = V.cohort_summary(cohort, ranking, decisions).first()
+    assert (row.n_rows, row.share_final_id, row.median_ruwe, row.median_priority_score) == (10, 0.25, 18.0, 0.45)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import io
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 BINS, RANGE = 256, 1 << 52
 #: Sum of second derivatives that either side of a split has at least.
 LEAST_WEIGHT = 1e-3
-#: Rows that walk through a tree together.
-CHUNK = 1 << 13
+#: Rows and trees (about) that meet in one pass; rows that walk through a tree together.
+ROWS, TREES, CHUNK = 1 << 10, 64, 1 << 13
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,14 @@ class Forest:
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Scores (row, series) before they become probabilities."""
+        return self.scorer()(x)
+
+    def scorer(self) -> Callable[[np.ndarray], np.ndarray]:
+        """What `raw` does, to be made once for many batches: leaves are looked up, not walked to, where they fit a mask."""
+        return _LeafTables(self) if self.feature.shape[1] < 2 * 64 else self.walked
+
+    def walked(self, x: np.ndarray) -> np.ndarray:
+        """The scores by walking from node to node."""
         out = np.tile(self.base, (len(x), 1))
         for start in range(0, len(x), CHUNK):
             part = x[start : start + CHUNK]
@@ -75,6 +83,74 @@ class Forest:
         return _probabilities(self.raw(x))
 
 
+class _LeafTables:
+    """Finds the leaves of many trees at once, with one table per feature instead of a walk.
+
+    The leaves of a tree are bits, leftmost first. A row that is above the cut of a node loses the leaves on that node's
+    left, so a table gives, per place of a value among the cuts of its feature and per tree, the leaves that are left.
+    The lowest bit that all features leave is the leaf of the row. Sums are taken tree by tree, as in a walk.
+    """
+
+    def __init__(self, forest: Forest):
+        feature, left, right = forest.feature, forest.left, forest.right
+        trees, size = feature.shape
+        every, inner = np.arange(trees), left != np.arange(size)
+        leaves, first = np.ones((trees, size), np.int64), np.zeros((trees, size), np.int64)
+        used = np.zeros((trees, size), bool)
+        used[:, 0] = True
+        for node in reversed(range(size)):  # children come after their parent
+            both = leaves[every, left[:, node]] + leaves[every, right[:, node]]
+            leaves[:, node] = np.where(inner[:, node], both, 1)
+        for node in range(size):
+            at = np.flatnonzero(inner[:, node] & used[:, node])
+            one, two = left[at, node], right[at, node]
+            used[at, one] = used[at, two] = True
+            first[at, one], first[at, two] = first[at, node], first[at, node] + leaves[at, one]
+        self.base, self.width = forest.base, int(leaves[:, 0].max())
+        kind = np.uint32 if self.width <= 32 else np.uint64
+        tree, node = np.nonzero(used & ~inner)
+        values = np.zeros((trees, self.width))
+        values[tree, first[tree, node]] = forest.value[tree, node]
+        tree, node = np.nonzero(used & inner)
+        lost = leaves[tree, left[tree, node]].astype(np.uint64)  # of an inner node, so less than all 64
+        rest = ~(((np.uint64(1) << lost) - np.uint64(1)) << first[tree, node].astype(np.uint64))
+        self.cuts, tables = {}, {}
+        for f in np.unique(feature[tree, node]).tolist():
+            mine = feature[tree, node] == f
+            self.cuts[f], place = np.unique(forest.cut[tree, node][mine], return_inverse=True)
+            table = np.full((len(self.cuts[f]) + 1, trees), np.iinfo(kind).max, kind)
+            np.bitwise_and.at(table, (place + 1, tree[mine]), rest[mine].astype(kind))
+            tables[f] = np.bitwise_and.accumulate(table, axis=0)
+        step = len(self.base) * -(-TREES // len(self.base))
+        self.blocks = [
+            ({f: np.ascontiguousarray(t[:, a : a + step]) for f, t in tables.items()}, values[a : a + step].ravel())
+            for a in range(0, trees, step)
+        ]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out, series = np.tile(self.base, (len(x), 1)), len(self.base)
+        if not self.cuts:  # each tree is one leaf
+            for _, values in self.blocks:
+                for t in range(0, len(values), series):
+                    out += values[t : t + series]
+            return out
+        places = {f: np.searchsorted(cuts, x[:, f]) for f, cuts in self.cuts.items()}
+        for tables, values in self.blocks:
+            trees = len(values) // self.width
+            offset, one = np.arange(trees) * self.width, next(iter(tables.values())).dtype.type(1)
+            for start in range(0, len(x), ROWS):
+                part = slice(start, start + ROWS)
+                left = None
+                for f, table in tables.items():
+                    found = table.take(places[f][part], axis=0)
+                    left = found if left is None else np.bitwise_and(left, found, out=left)
+                leaf = np.bitwise_count(~left & (left - one))  # the zeros below the lowest bit
+                added, sums = values.take(leaf + offset), out[part]
+                for t in range(0, trees, series):
+                    sums += added[:, t : t + series]
+        return out
+
+
 def _probabilities(raw: np.ndarray) -> np.ndarray:
     if raw.shape[1] == 1:
         p = 1.0 / (1.0 + np.exp(-np.clip(raw, -500, 500)))
@@ -195,7 +271,9 @@ def forest_probabilities(forest: Forest, features: Column) -> Column:
     """Class probabilities of a column of feature vectors."""
 
     @F.pandas_udf("array<double>")
-    def probabilities(x: pd.Series) -> pd.Series:
-        return pd.Series(list(forest.probabilities(np.vstack(x.to_numpy())))) if len(x) else pd.Series([], dtype=object)
+    def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        raw = forest.scorer()
+        for x in batches:
+            yield pd.Series(list(_probabilities(raw(np.vstack(x.to_numpy()))))) if len(x) else pd.Series([], dtype=object)
 
     return probabilities(vector_to_array(features))

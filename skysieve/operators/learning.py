@@ -181,6 +181,12 @@ def _mixture_probabilities(mixtures):
 # --- scoring --------------------------------------------------------------------------
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Few bytes, much work: tasks by the settings of the session, not by size."""
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism))
+
+
 def with_probabilities(df: DataFrame, model: StarModel) -> DataFrame:
     """Add one `probability__X` column per label, rows summing to one."""
     features = model.task.features
@@ -463,10 +469,7 @@ def permutation_importance(
         (F.pmod(F.col("_pos"), F.col("_n")) + 1).alias("_pos"),
         *[F.col(f).alias(f"_d_{f}") for f in features],
     )
-    # few bytes, much work: tasks by the settings of the session, not by size
-    session = df.sparkSession
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    parts = placed.join(donor, ["_repeat", "_pos"]).repartition(tasks)
+    parts = spread(placed.join(donor, ["_repeat", "_pos"]))
     versions = F.array(
         *[
             F.struct(

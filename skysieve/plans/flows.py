@@ -161,7 +161,7 @@ def score_flow(df: DataFrame, model: M.StarModel, output: str, *, rank: bool = F
 
 def prioritise(candidates: DataFrame, router: M.StarModel, stage: M.StarModel, host: M.StarModel) -> DataFrame:
     """Candidates through router, stage and host models, then ranked."""
-    scored = candidates
+    scored = M.spread(candidates)
     for model in (router, stage, host):
         scored = M.score(scored, model).drop(*model.probability_columns.values())
     return score_priority(materialise(adopt_router_predictions(scored), "prioritise-scored"))

@@ -66,6 +66,24 @@ def test_trees_walked_one_row_at_a_time_give_the_same_scores():
     assert np.array_equal(again.probabilities(x), forest.probabilities(x))
 
 
+@pytest.mark.parametrize("classes, leaves", [(2, 2), (3, 31), (2, 32), (3, 33), (3, 64), (2, 65)])
+def test_leaves_are_looked_up_without_a_walk(monkeypatch, classes, leaves):
+    x, y = points(1500)
+    forest = B.train(x, np.minimum(y, classes - 1), np.ones(len(y)), classes, M.ModelSpec(iterations=6, leaves=leaves, min_leaf_rows=2))
+    odd = np.array([[np.nan, 0.1], [np.inf, -np.inf], [0.2, np.nan], [forest.cut[0][0], forest.cut[0][0]]])
+    rows = np.vstack([x, odd])
+    walked = forest.walked(rows)
+    if leaves <= 64:
+        monkeypatch.setattr(B.Forest, "walked", None)
+    assert np.array_equal(forest.raw(rows), walked)  # to the last bit
+    assert forest.raw(rows[:0]).shape == (0, len(forest.base))
+
+
+def test_trees_of_one_leaf_are_looked_up():
+    forest = B.train(np.zeros((30, 2)), np.arange(30) % 3, np.ones(30), 3, M.ModelSpec(iterations=3))
+    assert np.array_equal(forest.raw(np.ones((4, 2))), forest.walked(np.ones((4, 2))))
+
+
 def test_leaves_keep_the_least_number_of_rows_and_the_depth():
     x, y = points()
     grower = B._Grower(x, 31, 3, 40)

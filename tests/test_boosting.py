@@ -116,3 +116,31 @@ def test_folds_in_order_whatever_ends_first(spark):
     assert 0.8 < means["mean_accuracy"] <= 1
     held = M.out_of_fold(df, TASK, M.ModelSpec(iterations=5), "a", protocol)
     assert held.count() == held.select("source_id").distinct().count() == 600
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_scored_once_for_all_metrics(spark, monkeypatch):
+    x, y = points(600)
+    df = frame(spark, x, y).selectExpr("*", "CASE WHEN source_id % 3 = 0 THEN 'test' ELSE 'train' END AS split_name")
+    monkeypatch.setattr(type(df), "persist", None)  # a fit of trees reads its rows once
+    model = M.fit(df, TASK, M.ModelSpec(iterations=4))
+    got = M.evaluate(df, model)
+    assert "ArrowEvalPython" in plan_of(M.score(df, model)) and "ArrowEvalPython" not in plan_of(got)
+    called = {r.source_id: r.predicted_kind for r in M.score(df, model).collect()}
+    for r in got.collect():
+        mine = [i for i in range(600) if (i % 3 == 0) == (r.split_name == "test")]
+        assert r.n_rows == len(mine) and r.accuracy == sum(called[i] == "abc"[y[i]] for i in mine) / len(mine)
+
+
+def test_importance_scores_unswapped_rows_once(spark, monkeypatch):
+    x, y = points(400)
+    df = frame(spark, x, y)
+    model = M.fit(df, TASK, M.ModelSpec(iterations=4))
+    got = M.permutation_importance(df, model, repeats=3, positive="a")
+    assert "ArrowEvalPython" not in plan_of(got)
+    right = [(r.predicted_kind == "a") == (r.kind == "a") for r in M.score(df, model).collect()]
+    assert {(r.metric_name, r.feature_name) for r in got.collect()} == {(m, f) for m in ("accuracy", "balanced_accuracy") for f in "pq"}
+    assert all(r.importance_mean <= np.mean(right) for r in got.where("metric_name = 'accuracy'").collect())

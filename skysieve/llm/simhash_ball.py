@@ -83,6 +83,23 @@ def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.where(near).select("a", F.col("fp").alias("b"))
 
 
+def simhash_pairs(
+    documents: DataFrame, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """Pairs (one, two) of different texts, each as a hash of the raw text, that connect every component.
+
+    Texts of one fingerprint form a chain, so none is in more than two of its pairs; linked fingerprints are
+    stood for by one text each.
+    """
+    rows = fingerprints(documents, shingle, doc_id, text).select("fp", "same").distinct()
+    texts = materialise(rows, "simhash-texts")
+    chain = texts.select(F.lag("same").over(W.partitionBy("fp").orderBy("same")).alias("one"), F.col("same").alias("two"))
+    least = materialise(texts.groupBy("fp").agg(F.min("same").alias("same")), "simhash-distinct")
+    links = ball_links(least.select("fp"), radius)
+    one, two = least.toDF("a", "one"), least.toDF("b", "two")
+    return chain.where("one IS NOT NULL").unionAll(links.join(one, "a").join(two, "b").select("one", "two"))
+
+
 def _members(documents: DataFrame, shingle: int, radius: int, doc_id: str, text: str) -> DataFrame:
     """Per row: doc_id, same, fp, component_id, root (equal within a component only)."""
     docs = materialise(fingerprints(documents, shingle, doc_id, text), "simhash")

@@ -8,6 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from skysieve.llm import shingle_copies
 from skysieve.llm.simhash_ball import simhash_components
 from tests_support import SF, write_tables
 
@@ -67,3 +68,19 @@ def test_run_gives_the_last_stage(spark):
 def test_empty_tables(spark, docs_of, tmp_path):
     sf_dir = write_tables(tmp_path, docs_of([]), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert corpus_pipeline.run(spark, sf_dir).collect() == []
+
+
+def test_simhash_finds_near_copies_without_bands(spark, docs_of, tmp_path, monkeypatch):
+    rooms = shingle_copies._rooms
+    monkeypatch.setattr(shingle_copies, "_rooms", lambda members, turn: rooms(members, turn).limit(0))
+    line = [f"w{i}" for i in range(40)]
+    texts = {
+        5: " ".join(line * 60), 6: " ".join(line * 60 + ["new"]),  # 40 of 46 shingles
+        7: " ".join(line * 60 + ["other"]), 9: " ".join(line[::-1]),
+        4: None, 3: "",
+    }
+    docs = docs_of([(i, t, "en", "a", 1) for i, t in texts.items()] + [(None, texts[9], "en", "a", 1)])
+    by_simhash = {r.doc_id: r.component_id for r in simhash_components(docs).collect()}
+    assert {by_simhash[i] for i in (5, 6, 7)} == {5}
+    got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [3, 5, 9]

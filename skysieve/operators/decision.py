@@ -12,6 +12,7 @@ from skysieve.functions import policy as P
 from skysieve.functions.numeric import argmax_label, clean_text, no_nan, to_number, top_margin
 from skysieve.operators.guards import require_columns, require_unique
 from skysieve.operators.ranking import PRIORITY_COLUMNS, score_priority
+from skysieve.operators.skew import by_shuffle
 
 OOD_STAGE_COLUMNS = (
     "source_id",
@@ -120,7 +121,7 @@ def summarise_probabilities(
 def in_domain_rows(base: DataFrame, ood_scored: DataFrame) -> DataFrame:
     """Base rows whose id the domain stage called in-domain."""
     keep = ood_scored.where(F.col("ood_decision") == "in_domain").select("source_id")
-    return base.join(keep, "source_id", "left_semi")
+    return base.join(by_shuffle(keep), "source_id", "left_semi")
 
 
 def handed_family(policy: C.HandoffPolicy) -> Column:
@@ -140,7 +141,7 @@ def family_rows(
 ) -> DataFrame:
     """Base rows of one coarse class that pass the hand-off."""
     keep = coarse_scored.where(handed_family(policy) == family).select("source_id")
-    return base.join(keep, "source_id", "left_semi")
+    return base.join(by_shuffle(keep), "source_id", "left_semi")
 
 
 def decision_input(
@@ -278,7 +279,8 @@ def priority_input(
         & F.col("final_coarse_class").isNotNull()
     ).select("source_id", F.upper(F.trim("final_coarse_class")).alias("spec_class"))
     extra = [c for c in C.RANKING_OPTIONAL_COLUMNS if c in base.columns]
-    return eligible.join(base.select("source_id", host_column, *extra), "source_id", "left").select(
+    signals = by_shuffle(base.select("source_id", host_column, *extra))
+    return eligible.join(signals, "source_id", "left").select(
         "source_id", "spec_class", host_column, *extra
     )
 

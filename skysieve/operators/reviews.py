@@ -27,6 +27,7 @@ from skysieve.operators.ordered import (
     null_safe_join,
 )
 from skysieve.operators.ranking import ranking_order
+from skysieve.operators.skew import by_shuffle
 
 # --- fixed values: column lists and category orders -------------------------------------
 
@@ -140,14 +141,6 @@ def text_id(df: DataFrame) -> DataFrame:
     return df.withColumn("source_id", F.col("source_id").cast("string"))
 
 
-def by_shuffle(df: DataFrame) -> DataFrame:
-    """Star table on the right of a join: it has as many rows as stars, but few bytes on disk.
-
-    Left to its estimate, Spark broadcasts 9 million rows that are packed into less than 10 MB.
-    """
-    return df.hint("merge")
-
-
 def add_new(left: DataFrame, right: DataFrame, names=None) -> DataFrame:
     """Left join on the id (as text) of the columns that `left` does not have yet."""
     have = set(left.columns)
@@ -339,11 +332,11 @@ def cohort_preview(cohort: DataFrame, top_n: int = 10) -> DataFrame:
 def star_results(inputs: DataFrame, decisions: DataFrame, ranking: DataFrame) -> DataFrame:
     """One wide row per star; columns nobody supplies are NULL."""
     merged = text_id(inputs).join(
-        text_id(decisions).select("source_id", *[c for c in decisions.columns if c not in inputs.columns]),
+        by_shuffle(text_id(decisions).select("source_id", *[c for c in decisions.columns if c not in inputs.columns])),
         "source_id",
     )
     extra = [c for c in STAR_RESULT_COLUMNS if c in ranking.columns and c not in merged.columns]
-    merged = merged.join(text_id(ranking).select("source_id", *extra), "source_id", "left")
+    merged = merged.join(by_shuffle(text_id(ranking).select("source_id", *extra)), "source_id", "left")
     have = set(merged.columns)
     return merged.select(
         *[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in STAR_RESULT_COLUMNS]

@@ -11,7 +11,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from skysieve import contracts as C
+from skysieve.operators import boundary as O
+from skysieve.operators import decision as D
 from skysieve.operators import frames as FR
+from skysieve.operators import layers as L
 from skysieve.operators import linking as X
 from skysieve.operators import ordered
 from skysieve.operators import reviews as V
@@ -22,7 +25,7 @@ from skysieve.operators.ordered import (
     spread_row_number,
     with_buckets,
 )
-from skysieve.operators.skew import balanced_join
+from skysieve.operators.skew import balanced_join, with_group_count
 
 
 @pytest.fixture(scope="module")
@@ -228,3 +231,27 @@ def test_cohort_never_broadcasts_star_tables(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     row = V.cohort_summary(cohort, ranking, decisions).first()
     assert (row.n_rows, row.share_final_id, row.median_ruwe, row.median_priority_score) == (10, 0.25, 18.0, 0.45)
+
+
+def test_joins_of_star_tables_never_broadcast(spark):
+    ids = spark.range(30).withColumnRenamed("id", "source_id")
+    scored = ids.selectExpr("source_id", "'G' AS coarse_predicted_label", "9E-1 AS coarse_probability_max", "5E-1 AS coarse_probability_margin")
+    rows = D.family_rows(ids, scored, "G", C.HandoffPolicy())
+    outcome = ids.selectExpr(
+        "source_id", "'id' AS final_domain_state", "'pass' AS final_quality_state", "'g ' AS final_coarse_class",
+        *[f"'x' AS {c}" for c in ("final_coarse_confidence", "final_refinement_label", "final_refinement_state", "final_refinement_confidence", "final_decision_reason")],
+    )
+    reasons = ids.selectExpr("source_id", *[f"'x' AS {c}" for c in ("quality_reason", "review_bucket", "ood_state", "ood_reason")])
+    chosen = D.priority_input(ids.withColumn("host_similarity_score", F.lit(0.5)), outcome, check=False)
+    enriched = L.enrich(ids, ids.withColumn("radius_flame", F.lit(1.0)).where("source_id % 2 = 0"), "radius_flame")
+    for df in (rows, chosen, enriched, O.final_outcomes(ids, outcome, reasons)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and df.count() == 30
+    assert enriched.where("radius_flame IS NULL").count() == 15
+
+
+def test_rows_are_counted_from_a_written_table(spark):
+    slow = spark.range(60).withColumn("k", F.udf(lambda i: i % 3, "long")("id"))
+    got = with_group_count(slow, "k", "n", spread=F.col("id"), rows_per_task=7)
+    assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()  # the rows were made twice
+    assert sorted((r.id, r.k, r.n) for r in got.collect()) == [(i, i % 3, 20) for i in range(60)]

@@ -293,7 +293,7 @@ def merge_priority(decisions: DataFrame, ranking: DataFrame) -> DataFrame:
     left = decisions.drop("priority_state", *extra)
     label = F.col("priority_label") if "priority_label" in have else F.lit(None)
     return (
-        left.join(ranked, left["source_id"].cast("string") == ranked["_id"], "left")
+        left.join(by_shuffle(ranked), left["source_id"].cast("string") == ranked["_id"], "left")
         .drop("_id")
         .withColumn("priority_state", label.cast("string"))
     )

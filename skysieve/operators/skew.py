@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from skysieve.session import materialise
 
 ROWS_PER_TASK = 1_000_000
+# ids that may be broadcast: about 40 MB
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def by_shuffle(df: DataFrame) -> DataFrame:
@@ -18,6 +20,15 @@ def by_shuffle(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def broadcast_ids(ids: DataFrame, limit: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """Distinct ids on the right of a join with wide star rows: broadcast if there are at most `limit` (counted).
+
+    Left to the estimate from the bytes of the files they come from, Spark shuffles all columns of all stars to test
+    one id. Beyond the limit that is what remains.
+    """
+    return F.broadcast(ids) if ids.count() <= limit else by_shuffle(ids)
+
+
 def hot_keys(df: DataFrame, keys, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Keys with more rows than one task should take, and into how many parts to split them.
 

@@ -25,7 +25,7 @@ from skysieve.operators.ordered import (
     spread_row_number,
     with_buckets,
 )
-from skysieve.operators.skew import balanced_join, with_group_count
+from skysieve.operators.skew import balanced_join, broadcast_ids, with_group_count
 
 
 @pytest.fixture(scope="module")
@@ -255,3 +255,29 @@ def test_rows_are_counted_from_a_written_table(spark):
     got = with_group_count(slow, "k", "n", spread=F.col("id"), rows_per_task=7)
     assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()  # the rows were made twice
     assert sorted((r.id, r.k, r.n) for r in got.collect()) == [(i, i % 3, 20) for i in range(60)]
+
+
+def test_few_members_never_shuffle_wide_rows(spark):
+    names = (*C.CORE_FEATURES, "radius_flame", "ruwe", "parallax_over_error", "classprob_dsc_combmod_star")
+    stars = spark.range(30).selectExpr("id AS source_id", "0 AS non_single_star", *[f"1E0 AS {c}" for c in dict.fromkeys(names)])
+    members = spark.range(6).selectExpr("CASE WHEN id < 5 THEN id % 2 END AS source_id")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the estimate were too large
+    try:
+        gated = L.initial_gate(stars, members)
+        plan = gated._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r.source_id for r in gated.where("in_ood_reference").collect()) == [0, 1] and gated.count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    many = stars.join(broadcast_ids(members.distinct(), limit=2).withColumn("known", F.lit(True)), "source_id", "left")
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString() and many.count() == 30
+
+
+def test_merged_ranking_is_never_broadcast(spark):
+    decisions = spark.range(20).selectExpr("id AS source_id", "CAST(NULL AS STRING) AS priority_state")
+    ranking = spark.range(5).selectExpr("CAST(id AS STRING) AS source_id", "'high' AS priority_label")
+    merged = D.merge_priority(decisions, ranking)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert merged.count() == 20 and merged.where("priority_state = 'high'").count() == 5

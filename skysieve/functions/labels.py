@@ -50,18 +50,36 @@ def luminosity_rest(rest: Column) -> Column:
     return _found(F.trim(F.regexp_replace(rest, LUMINOSITY_PREFIX, "")))
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once per row; branches that name an expression would work it out again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_label(c: Column) -> Column:
     """Struct with class, digit, luminosity, suffix, status and note of one label.
 
     The branches are tried in order: empty, O/B boundary, no class letter,
-    fractional digit, no digit, whole digit.
+    fractional digit, no digit, whole digit. Each pattern is matched once per label.
     """
-    compact = F.coalesce(_compact(c), F.lit(""))
-    empty, boundary = compact == "", is_ob_boundary(compact)
-    first = F.regexp_extract(compact, LABEL, 1)
-    digits = F.regexp_extract(compact, LABEL, 2)
-    luminosity = F.regexp_extract(compact, LABEL, 3)
-    suffix = F.regexp_extract(compact, LABEL, 4)
+
+    def cut(text: Column) -> Column:
+        compact = text["compact"]
+        groups = {n: F.regexp_extract(compact, LABEL, i + 1).alias(n) for i, n in enumerate(("first", "digits", "luminosity", "suffix"))}
+        return F.struct(
+            text["normalized"].alias("normalized"), compact.alias("compact"), is_ob_boundary(compact).alias("boundary"), *groups.values()
+        )
+
+    def compacted(normalized: Column) -> Column:
+        return F.struct(normalized.alias("normalized"), F.regexp_replace(normalized, " ", "").alias("compact"))
+
+    label = F.coalesce(normalize_label(c), F.lit(""))
+    return _let(label, lambda n: _let(compacted(n), lambda text: _let(cut(text), _parsed)))
+
+
+def _parsed(cells: Column) -> Column:
+    compact, boundary = cells["compact"], cells["boundary"]
+    first, digits, luminosity, suffix = cells["first"], cells["digits"], cells["luminosity"], cells["suffix"]
+    empty = compact == ""
     read = ~boundary & (first != "")
 
     note = (
@@ -73,7 +91,7 @@ def parse_label(c: Column) -> Column:
         .when(luminosity == "", "missing_luminosity_class")
     )
     return F.struct(
-        F.coalesce(normalize_label(c), F.lit("")).alias("normalized_value"),
+        cells["normalized"].alias("normalized_value"),
         F.when(boundary, "OB").when(first != "", first).alias("spectral_class"),
         F.when(read & (F.length(digits) == 1), digits.try_cast("int")).alias("spectral_subclass"),
         F.when(read & (luminosity != ""), _mixed_case(luminosity)).alias("luminosity_class"),

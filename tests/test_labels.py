@@ -85,3 +85,10 @@ def test_catalogue_outcomes(spark, tmp_path):
     assert kept.spectral_subclass == 2 and kept.raw_magnitude == 12.34
     assert abs(kept.ra_deg - 15 * (1 + 2 / 60 + 3 / 3600)) < 1e-12
     assert abs(kept.dec_deg + (10 + 20 / 60 + 30 / 3600)) < 1e-12
+
+
+def test_each_pattern_is_matched_once(spark):
+    rows = spark.createDataFrame([("G2V",)], "t string").select(parse_label(F.col("t")).alias("p")).select("p.spectral_class")
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 2 and plan.count("regexp_extract(") == 4
+    assert rows.first().spectral_class == "G"

@@ -20,7 +20,9 @@ DECISION_POLICY = C.DecisionPolicy(
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.initial_gate(st.stars(spark, sf_dir), st.memberships(spark, sf_dir))
+    """All stars through the gate; their rows are marked while they hold the few columns of `orders`."""
+    marked = L.mark_members(st.table(spark, sf_dir, "orders"), st.memberships(spark, sf_dir), st.K)
+    return L.initial_gate(st.star_view(marked, keep=["in_ood_reference"]))
 
 
 def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,12 +95,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def star_view(orders: DataFrame, *names: str, keep=()) -> DataFrame:
+    """Star columns of `orders` rows, and the columns to `keep` as they are."""
+    wanted = names or tuple(STAR_COLUMNS)
+    return orders.select(*[F.expr(STAR_COLUMNS[n]).alias(n) for n in wanted], *keep)
+
+
 def stars(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """The star view over `orders`; Catalyst prunes the formulas a query does not use."""
-    wanted = names or tuple(STAR_COLUMNS)
-    return table(spark, sf_dir, "orders").select(
-        *[F.expr(STAR_COLUMNS[n]).alias(n) for n in wanted]
-    )
+    return star_view(table(spark, sf_dir, "orders"), *names)
 
 
 # candidate pairs of a sky match: separation in degrees, repeats of a pair still in

@@ -26,6 +26,7 @@ from skysieve.operators.ordered import (
     with_buckets,
 )
 from skysieve.operators.skew import balanced_join, broadcast_ids, with_group_count
+from skysieve.plans import bundles as B
 
 
 @pytest.fixture(scope="module")
@@ -274,6 +275,23 @@ def test_few_members_never_shuffle_wide_rows(spark):
     assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString() and many.count() == 30
 
 
+def test_many_members_shuffle_narrow_rows(spark, tmp_path, monkeypatch):
+    spark.range(30).selectExpr(
+        "id AS o_orderkey", "id AS o_custkey", "'x' AS o_orderstatus", "CAST(id AS DOUBLE) AS o_totalprice",
+        "TIMESTAMP'2020-01-01' AS o_orderdate", "'2-HIGH' AS o_orderpriority",
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(6).selectExpr(
+        "id AS event_id", "TIMESTAMP'2020-01-01' AS ts", "CASE WHEN id < 5 THEN id % 2 END AS user_id", "'a' AS event_type",
+        "1E0 AS value", "'' AS props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(L, "broadcast_ids", lambda ids: broadcast_ids(ids, limit=1))
+    gated = B.gated(spark, str(tmp_path))
+    plan = gated._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(o_orderkey")
+    assert "SortMergeJoin" in plan[0] and len(plan) > 1
+    assert all(f"{c}#" not in x for x in plan[1:] for c in ("parallax", "raw_sptype", "quality_state", "o_custkey"))
+    assert sorted(r.source_id for r in gated.where("in_ood_reference").collect()) == [0, 1] and gated.count() == 30
+
+
 def test_merged_ranking_is_never_broadcast(spark):
     decisions = spark.range(20).selectExpr("id AS source_id", "CAST(NULL AS STRING) AS priority_state")
     ranking = spark.range(5).selectExpr("CAST(id AS STRING) AS source_id", "'high' AS priority_label")

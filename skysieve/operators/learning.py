@@ -32,6 +32,9 @@ from skysieve.session import materialise
 KINDS = ("boosted_trees", "network", "mixture")
 #: Fits of a validation that run side by side.
 FOLDS_AT_ONCE = 8
+#: Rows of a fit in steps: tasks per core, and rows that one task may hold.
+TASKS_PER_CORE = 4
+ROWS_PER_TASK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -118,6 +121,8 @@ def fit(df: DataFrame, task: C.Task, spec: ModelSpec = ModelSpec()) -> StarModel
     if spec.kind == "boosted_trees":  # reads the rows once
         model.forest = fit_forest(ready, labels, counts, spec)
         return model
+    if spec.kind == "network":
+        ready = dealt_evenly(ready, model.n_rows)
     ready = ready.persist()
     try:
         if spec.kind == "network":
@@ -129,6 +134,12 @@ def fit(df: DataFrame, task: C.Task, spec: ModelSpec = ModelSpec()) -> StarModel
     return model
 
 
+def dealt_evenly(df: DataFrame, n_rows: int) -> DataFrame:
+    """Rows for a fit whose every step is one job: all cores get the same share, however the files are cut."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(TASKS_PER_CORE * cores, math.ceil(n_rows / ROWS_PER_TASK)))
+
+
 def _fit_network(ready: DataFrame, labels, n_features: int, spec: ModelSpec):
     """Multi-layer perceptron over all labels."""
     index = F.array_position(F.lit(list(labels)), F.col("_target")) - 1

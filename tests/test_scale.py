@@ -15,6 +15,7 @@ from skysieve.operators import boundary as O
 from skysieve.operators import decision as D
 from skysieve.operators import frames as FR
 from skysieve.operators import layers as L
+from skysieve.operators import learning as M
 from skysieve.operators import linking as X
 from skysieve.operators import ordered
 from skysieve.operators import reviews as V
@@ -299,3 +300,20 @@ def test_merged_ranking_is_never_broadcast(spark):
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert merged.count() == 20 and merged.where("priority_state = 'high'").count() == 5
+
+
+def test_every_core_has_a_share_of_a_network_fit(spark, monkeypatch):
+    seen, fit_network = [], M._fit_network
+
+    def watched(ready, *rest):
+        seen.extend(r["count"] for r in ready.groupBy(F.spark_partition_id()).count().collect())
+        return fit_network(ready, *rest)
+
+    monkeypatch.setattr(M, "_fit_network", watched)
+    features = [f"CAST(id % {7 + i} AS DOUBLE) AS {c}" for i, c in enumerate(C.COARSE_TASK.features)]
+    rows = spark.range(0, 4000, 1, 1).selectExpr("IF(id % 7 < 3, 'G', 'K') AS spec_class", *features)
+    model = M.fit(rows, C.COARSE_TASK, M.ModelSpec("network", iterations=40))
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(seen) == 4000 and len(seen) >= cores and max(seen) * cores <= 2 * 4000
+    scored = M.score(rows, model)
+    assert scored.where("predicted_spec_class = spec_class").count() > 3600

@@ -144,3 +144,48 @@ def test_importance_scores_unswapped_rows_once(spark, monkeypatch):
     right = [(r.predicted_kind == "a") == (r.kind == "a") for r in M.score(df, model).collect()]
     assert {(r.metric_name, r.feature_name) for r in got.collect()} == {(m, f) for m in ("accuracy", "balanced_accuracy") for f in "pq"}
     assert all(r.importance_mean <= np.mean(right) for r in got.where("metric_name = 'accuracy'").collect())
+
+
+def ordered(x, y):
+    order = np.lexsort((*x.T, y))
+    return x[order], y[order]
+
+
+def test_all_rows_of_a_large_class_are_fitted(spark):
+    """More than 4,000 rows of one class, which is where a sample was drawn before."""
+    x, y = points(6000)
+    y = (y > 0).astype(int)
+    assert np.bincount(y)[1] > 4000
+    spec = M.ModelSpec(iterations=2, leaves=5)
+    got = M.fit(frame(spark, x, y), TASK, spec).forest
+    assert got.to_bytes() == B.train(*ordered(x, y), np.ones(len(y)), 2, spec).to_bytes()
+
+
+@pytest.mark.parametrize("classes, digits", [(3, 1), (3, 6), (2, 3)])
+def test_many_tasks_grow_the_trees_of_one(spark, monkeypatch, classes, digits):
+    rng = np.random.default_rng(3)
+    x = np.vstack([points(2900)[0], rng.normal(0, 0.05, (100, 2))]).round(digits)
+    y = np.minimum(np.where((x**2).sum(axis=1) < 0.4, 0, np.where(x[:, 0] < 0, 1, 2)), classes - 1)
+    spec = M.ModelSpec(iterations=4, leaves=9, min_leaf_rows=5)
+    monkeypatch.setattr(B, "FIT_ROWS", 900)
+    monkeypatch.setattr(B, "SHARE", 900)  # four tasks
+    monkeypatch.setattr(B, "PART", 64)
+    monkeypatch.setattr(B, "CELLS", 20)
+    monkeypatch.setattr(B, "IN_MEMORY", 1000)
+    got = M.fit(frame(spark, x, y), TASK, spec).forest
+    want = B.train(*ordered(x, y), np.ones(len(y)), classes, spec)
+    for name in ("feature", "cut", "left", "right", "depth"):
+        assert np.array_equal(getattr(got, name), getattr(want, name)), name
+    assert np.allclose(got.base, want.base) and np.allclose(got.value, want.value, rtol=1e-9, atol=1e-12)
+    monkeypatch.setattr(B, "SHARE", 1400)  # three tasks: the same to the last bit
+    assert M.fit(frame(spark, x, y).repartition(5), TASK, spec).forest.to_bytes() == got.to_bytes()
+
+
+@pytest.mark.parametrize("n", [256, 257, 300, 511, 513, 1000])
+def test_cuts_come_from_all_rows(spark, monkeypatch, n):
+    monkeypatch.setattr(B, "CELLS", 12)
+    rng = np.random.default_rng(n)
+    x = np.stack([rng.permutation(n).astype(float), rng.normal(0, 9, n), rng.integers(0, 7, n), np.where(rng.random(n) < 0.7, 3.0, rng.random(n))], axis=1)
+    rows = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    for got, column in zip(B.edges_of_all(rows, 4, n), x.T):
+        assert np.array_equal(got, B.bin_edges(column))
